@@ -23,26 +23,35 @@ class Strings:
         self.text[at] = body
 
 
+def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    rank, key = np.zeros(len(key), np.int64), key[order]
+    rank[order[1:]] = np.cumsum(key[1:] != key[:-1])
+    return rank
+
+
 def transform(s: Strings) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order (positions in s.text) and the preceding characters, by prefix doubling.
     The character before a string's start is its terminator."""
     n = len(s.text)
     ends = np.repeat(s.starts + s.lengths, s.lengths + 1)
     room = ends - np.arange(n)  # characters up to the terminator
-    rank, width = s.text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
     top = int(s.lengths.max(initial=0)) + 1
-    while width < top:
+    # seven characters of nine bits; what lies behind the terminator counts as zero
+    key = np.zeros(n, np.int64)
+    for i in range(7):
+        key <<= 9
+        if i < n:
+            key[: n - i] |= np.where(room[: n - i] > i, s.text[i:], 0)
+    order = np.argsort(key, kind="stable")
+    rank, width = _ranks(key, order), 7
+    while width < top and not (n and rank[order[-1]] == n - 1):
         ahead = np.zeros(n, np.int64)
         inside = np.flatnonzero(room >= width)
         ahead[inside] = rank[inside + width] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + ahead
         order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        rank = _ranks(key, order)
         width *= 2
-        if n and rank[order[-1]] == n - 1:
-            break
     before = np.where(np.isin(order, s.starts), np.uint16(0), s.text[order - 1])
     return order, before
 

@@ -3,6 +3,8 @@
 A byte goes if it lies in a `width`-byte string that also starts in a document with a smaller id. All
 strings are judged on the input.
 
+0. Documents are packed into batches, written once. Whole copies (equal digests) collapse: only the copy with
+   the smallest id goes on; the others lose every byte.
 1. Every window of `width` bytes holds a rarest-hash k-mer (its minimizer), the same in every copy of the
    window. Documents are packed into batches; each batch tells every hash bucket, once, the minimizers it
    holds, and learns which of them another document holds. Windows whose minimizer is alone cannot repeat,
@@ -37,7 +39,9 @@ WIDTH, KMER = 50, 24
 #: Text bytes of a batch, of a bucket's share, and suffixes that are merged at once.
 BATCH_BYTES, BUCKET_BYTES, MERGE_SUFFIXES = 2 << 20, 24 << 20, 1 << 17
 #: Window starts handled at once in a very long document.
-SLICE = 4 << 20
+SLICE = 1 << 17
+#: Bytes of copy marks (a few a document that is a copy) up to which they are broadcast.
+MARK_BYTES = 64 << 20
 PLACE_BITS = 28
 
 
@@ -100,7 +104,7 @@ def runs_of(texts: list[bytes], width: int, k: int) -> tuple[np.ndarray, np.ndar
 
 def per_doc_unique(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes, and which of them more than one document holds."""
-    order = np.lexsort((owner, h))
+    order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
     heads = np.flatnonzero(new)
@@ -125,10 +129,10 @@ def pack_batches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         batch_id = TaskContext.get().partitionId() << 32
         for x in chunks(batches, "text", BATCH_BYTES):
             texts, ids = utf8(x.column("text")), x.column("doc_id")
-            yield pa.record_batch({"batch": [batch_id], "n_bytes": [sum(map(len, texts))], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "data": [zstandard.compress(b"".join(texts), 3)]})
+            yield pa.record_batch({"batch": [batch_id], "n_bytes": [sum(map(len, texts))], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "digests": pa.array([[hashlib.sha256(t).digest() for t in texts]], pa.list_(pa.binary())), "data": [zstandard.compress(b"".join(texts), 3)]})
             batch_id += 1
 
-    return materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, data binary"), "batches")
+    return materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, digests array<binary>, data binary"), "batches")
 
 
 def unpack(row: dict) -> tuple[list, list[bytes]]:
@@ -138,6 +142,17 @@ def unpack(row: dict) -> tuple[list, list[bytes]]:
     return row["ids"], [data[b - n : b] for b, n in zip(ends, row["lengths"])]
 
 
+def with_copies(packed: DataFrame, width: int) -> DataFrame:
+    """packed with `copies`: the numbers of the rows that are whole copies of a text with a smaller id."""
+    each = packed.select("batch", F.posexplode(F.arrays_zip("ids", "lengths", "digests")).alias("i", "x")).select("batch", "i", F.col("x.ids").alias("doc_id"), F.col("x.digests").alias("digest"), F.col("x.lengths").alias("n"))
+    first = each.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = each.where(F.col("n") >= width).join(first, "digest").where("doc_id > least")
+    marks = materialize(copies.groupBy("batch").agg(F.collect_list("i").alias("copies"), F.count("*").alias("n")), "copies").select("batch", "copies", "n")
+    small = (marks.agg(F.sum("n")).first()[0] or 0) * 8 <= MARK_BYTES
+    marks = marks.drop("n")
+    return packed.join(F.broadcast(marks) if small else marks, "batch", "left")
+
+
 def shared_minimizers(packed: DataFrame, buckets: int, width: int, k: int) -> DataFrame:
     """batch, bucket, bits: which of the batch's distinct minimizers in the bucket's range two documents hold."""
 
@@ -145,6 +160,8 @@ def shared_minimizers(packed: DataFrame, buckets: int, width: int, k: int) -> Da
         for x in batches:
             for row in x.to_pylist():
                 ids, texts = unpack(row)
+                for i in row["copies"] or []:
+                    texts[i] = b""
                 owner, _, _, h = runs_of(texts, width, k)
                 h, several = per_doc_unique(_same_doc(ids)[owner], h)
                 at = sliced(h, buckets)
@@ -172,7 +189,7 @@ def shared_minimizers(packed: DataFrame, buckets: int, width: int, k: int) -> Da
         bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
         return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    told = packed.select("batch", "ids", "lengths", "data").mapInArrow(tell, "bucket int, batch long, hashes binary, several binary")
+    told = packed.select("batch", "ids", "lengths", "data", "copies").mapInArrow(tell, "bucket int, batch long, hashes binary, several binary")
     return told.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, bits binary")
 
 
@@ -182,7 +199,10 @@ def _same_doc(ids: list) -> np.ndarray:
     return np.array([seen.setdefault(("", i) if d is None else d, len(seen)) for i, d in enumerate(ids)], np.int64)
 
 
-DOCS = "row long, doc_id long, n_bytes long, sha256 string, text binary, starts array<int>, counts array<int>, keys array<long>"
+DOCS = "row long, doc_id long, n_bytes long, n_removed long, sha256 string, text binary, starts array<int>, counts array<int>, keys array<long>"
+
+
+EMPTY = hashlib.sha256().digest()
 
 
 def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int) -> DataFrame:
@@ -192,6 +212,9 @@ def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int
         for x in batches:
             for row in x.to_pylist():
                 ids, texts = unpack(row)
+                gone = set(row["copies"] or [])
+                for i in gone:
+                    texts[i] = b""
                 owner, start, count, h = runs_of(texts, width, k)
                 distinct = np.unique(h)
                 at, flags = sliced(distinct, buckets), np.zeros(len(distinct), bool)
@@ -205,12 +228,13 @@ def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int
                 for i, (d, t) in enumerate(zip(ids, texts)):
                     a, b = upto[i], upto[i + 1]
                     some = b > a
-                    rows.append(((row["batch"] << 22) + i, d, len(t), None if some else hashlib.sha256(t).hexdigest(), t if some else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                    n, digest = row["lengths"][i], EMPTY if i in gone else row["digests"][i]
+                    rows.append(((row["batch"] << 22) + i, d, n, n if i in gone else 0, None if some else digest.hex(), t if some else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in DOCS.split(", ")])
 
     told = shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))
-    joined = packed.select("batch", "ids", "lengths", "data").join(told, "batch", "left")
+    joined = packed.join(told, "batch", "left")
     return materialize(joined.mapInArrow(run, DOCS), "judged")
 
 
@@ -320,14 +344,14 @@ def cut(judged: DataFrame, runs: DataFrame) -> DataFrame:
 
     grouped = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     some = judged.where("text is not null").select("row", "doc_id", "text").join(grouped, "row", "left")
-    whole = judged.where("text is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("binary").alias("kept"))
+    whole = judged.where("text is null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("if(n_removed > 0, array(named_struct('a', 0, 'b', cast(n_bytes as int))), null)").alias("spans"), F.expr("if(n_removed > 0, X'', null)").alias("kept"))
     return whole.unionByName(some.mapInArrow(run, RESULT))
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, digest of what is left, the removed spans and the remaining bytes
     (both null where nothing was looked at: the text is whole)."""
-    packed = pack_batches(docs, doc_id, text)
+    packed = with_copies(pack_batches(docs, doc_id, text), width)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_BYTES))
     judged = judge(packed, shared_minimizers(packed, buckets, width, k), buckets, width, k)
