@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Spark hands to a Python worker.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches to and from Python limited by size: texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

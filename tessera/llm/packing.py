@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, utf8
+from tessera.llm.common import bounded, chunks, utf8
 from tessera.llm.encoding import Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Lim
             yield batch_of(rows)
 
     free = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), free.alias("free")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), free.alias("free")).mapInArrow(run, SCHEMA)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, materialize, utf8
+from tessera.llm.common import bounded, chunks, materialize, utf8
 from tessera.llm.graph import components
 
 #: Runs of a bucket up to this size are compared by shifted arrays.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
             fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], np.uint64)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def variants(fps: DataFrame, distance: int) -> DataFrame:

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bwt import repeated
-from tessera.llm.common import chunks, materialize, utf8
+from tessera.llm.common import bounded, chunks, materialize, utf8
 
 WIDTH, KMER = 50, 24
 #: Text bytes of a batch, of a bucket's share, and suffixes that are merged at once.
-BATCH_BYTES, BUCKET_BYTES, MERGE_SUFFIXES = 2 << 20, 24 << 20, 1 << 17
+BATCH_BYTES, BUCKET_BYTES, MERGE_SUFFIXES = 2 << 20, 12 << 20, 1 << 17
 #: Window starts handled at once in a very long document.
 SLICE = 1 << 17
 #: Bytes of copy marks (a few a document that is a copy) up to which they are broadcast.
@@ -132,7 +132,7 @@ def pack_batches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.record_batch({"batch": [batch_id], "n_bytes": [sum(map(len, texts))], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "digests": pa.array([[hashlib.sha256(t).digest() for t in texts]], pa.list_(pa.binary())), "data": [zstandard.compress(b"".join(texts), 3)]})
             batch_id += 1
 
-    return materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, digests array<binary>, data binary"), "batches")
+    return materialize(bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, digests array<binary>, data binary"), "batches")
 
 
 def unpack(row: dict) -> tuple[list, list[bytes]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, fresh_path, local_file, utf8
+from tessera.llm.common import bounded, chunks, fresh_path, local_file, utf8
 from tessera.llm.encoding import Encoder
 
 
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
             os.replace(f"{own}.{kind_of}", f"{folder}/part-{part:05d}.{kind_of}")
         yield pa.record_batch({"part": [part], "docs": [len(ids)], "tokens": [int(counts.sum())]})
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, docs long, tokens long").collect())
     base, manifest = 0, {"id_bytes": id_bytes, "parts": []}
