@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bwt import repeated
-from tessera.llm.common import bounded, chunks, materialize, utf8
+from tessera.llm.common import bounded, chunks, discard, materialize, utf8
 
 WIDTH, KMER = 50, 24
 #: Text bytes of a batch, of a bucket's share, and suffixes that are merged at once.
@@ -246,58 +246,80 @@ def _strings(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
 
 
 def index_strings(judged: DataFrame, width: int) -> DataFrame:
-    """key, string, doc_id: the strings of the index, combined within each task."""
+    """key, string, first, last: the strings of the index with the smallest and largest id that hold them,
+    combined within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
         def out():
             if held:
-                yield pa.record_batch({"key": pa.array([x[0] for x in held], pa.int64()), "string": pa.array([x[1] for x in held], pa.binary()), "doc_id": pa.array(held.values(), pa.int64())})
+                keys, strings = zip(*held)
+                first, last = zip(*held.values())
+                yield pa.record_batch({"key": pa.array(keys, pa.int64()), "string": pa.array(strings, pa.binary()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
                 held.clear()
 
         for batch in chunks(batches, "text"):
             for _, doc, _, key, string in _strings(batch, width):
-                if held.setdefault((key, string), doc) > doc:
-                    held[key, string] = doc
-            if len(held) > 200_000:
+                a, b = held.get((key, string), (doc, doc))
+                held[key, string] = min(a, doc), max(b, doc)
+            if len(held) > 100_000:
                 yield from out()
         yield from out()
 
-    return judged.where("text is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, doc_id long")
+    return judged.where("text is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, first long, last long")
 
 
 def merged_ids(strings: DataFrame, width: int) -> DataFrame:
-    """key, h (hash of the string), lo, hi, least: starts lo..hi of the string have that smallest doc_id."""
+    """key, h (hash of the string), lo, hi, least: starts lo..hi of the string have that smallest doc_id.
+
+    Where all strings of a key are equal there is nothing to merge: the string is the repeated interval."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
 
-    def solve(rows: dict) -> Iterator[pa.RecordBatch]:
-        keys, items = zip(*rows)
-        docs = np.fromiter(rows.values(), np.int64, len(rows))
-        out = []
-        for key, item, least in zip(keys, items, repeated(list(items), docs, width)):
-            cut = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "h", "lo", "hi", "least"])
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, out = np.array([r[2] for r in rows], np.int64), []
+        for (key, item, _), least in zip(rows, repeated([r[1] for r in rows], docs, width)):
+            cuts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
             h = digest(item) - (1 << 63)
-            out += [(key, h, a, b - 1, v) for a, b, v in zip(cut.tolist(), np.append(cut[1:], len(least)).tolist(), least[cut].tolist())]
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "h", "lo", "hi", "least"])
+            out += [(key, h, a, b - 1, v) for a, b, v in zip(cuts.tolist(), np.append(cuts[1:], len(least)).tolist(), least[cuts].tolist())]
+        yield told(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, size = {}, None, 0
+        todo, size, plain, now, last_key = [], 0, [], {}, None
+
+        def close() -> int:
+            """Files the strings of the key that has ended."""
+            if len(now) > 1:
+                todo.extend((last_key, s, a) for s, (a, _) in now.items())
+                return sum(len(s) + 1 for s in now)
+            for s, (a, b) in now.items():
+                if a < b:
+                    plain.append((last_key, digest(s) - (1 << 63), 0, len(s) - width, a))
+            return 0
+
         for batch in batches:
-            for key, string, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "string", "doc_id"))):
-                if size >= MERGE_SUFFIXES and key != last:
-                    yield from solve(held)
-                    held, size = {}, 0
-                if (key, string) not in held:
-                    size += len(string) + 1
-                    held[key, string] = doc
-                elif held[key, string] > doc:
-                    held[key, string] = doc
-                last = key
-        if held:
-            yield from solve(held)
+            for key, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "string", "first", "last"))):
+                if key != last_key:
+                    size += close()
+                    now, last_key = {}, key
+                    if size >= MERGE_SUFFIXES:
+                        yield from solve(todo)
+                        todo, size = [], 0
+                    if len(plain) >= 50_000:
+                        yield told(plain)
+                        plain = []
+                x, y = now.get(s, (a, b))
+                now[s] = min(a, x), max(b, y)
+        close()
+        if todo:
+            yield from solve(todo)
+        if plain:
+            yield told(plain)
 
     return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long, lo int, hi int, least long")
 
@@ -351,10 +373,12 @@ def cut(judged: DataFrame, runs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, digest of what is left, the removed spans and the remaining bytes
     (both null where nothing was looked at: the text is whole)."""
-    packed = with_copies(pack_batches(docs, doc_id, text), width)
+    written = pack_batches(docs, doc_id, text)
+    packed = with_copies(written, width)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_BYTES))
     judged = judge(packed, shared_minimizers(packed, buckets, width, k), buckets, width, k)
+    discard(written)
     least = materialize(merged_ids(index_strings(judged, width), width), "least")
     return cut(judged, removed_runs(judged, least, width))
 
