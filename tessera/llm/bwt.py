@@ -29,13 +29,13 @@ def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
-def transform(s: Strings) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order (positions in s.text) and the preceding characters, by prefix doubling.
-    The character before a string's start is its terminator."""
+def transform(s: Strings, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order by at least `depth` characters (positions in s.text) and the preceding characters, by
+    prefix doubling. The character before a string's start is its terminator."""
     n = len(s.text)
     ends = np.repeat(s.starts + s.lengths, s.lengths + 1)
     room = ends - np.arange(n)  # characters up to the terminator
-    top = int(s.lengths.max(initial=0)) + 1
+    top = min(depth, int(s.lengths.max(initial=0)) + 1)
     # seven characters of nine bits; what lies behind the terminator counts as zero
     key = np.zeros(n, np.int64)
     for i in range(7):
@@ -56,35 +56,28 @@ def transform(s: Strings) -> tuple[np.ndarray, np.ndarray]:
     return order, before
 
 
-def merge(before: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms. Returns places (for each place of the merged order the index into the concatenated
+def merge(before: list[np.ndarray], step: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms. step: for each place of the concatenated transforms that of the suffix that is one
+    character longer. depth: below 256. Returns places (for each place of the merged order the index into the concatenated
     transforms) right for `depth` characters, and the length of the common prefix with the place before, at
     most `depth`."""
     chars = np.concatenate(before)
-    n, sizes = len(chars), [len(b) for b in before]
-    bases = np.cumsum([0] + sizes)
-    # where the suffix that is one character longer stands in its own transform
-    step = np.empty(n, np.int32)
-    for b, base in zip(before, bases):
-        by = np.argsort(b, kind="stable")
-        step[base + by] = base + np.arange(len(b), dtype=np.int32)
-    small = np.uint8 if int(chars.max(initial=0)) < 256 else np.uint16
-    chars = chars.astype(small)
+    n, bases = len(chars), np.cumsum([0] + [len(b) for b in before])
+    chars = chars.astype(np.uint8 if int(chars.max(initial=0)) < 256 else np.uint16)
     ends = int((chars == 0).sum())
     # suffixes that are only a terminator come first, in the order of the transforms
     first = np.concatenate([base + np.arange(int((b == 0).sum()), dtype=np.int32) for b, base in zip(before, bases)]) if n else np.empty(0, np.int32)
-    place, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int32)
-    if n:
-        common[0] = 0
-    for h in range(1, depth + 1):
-        by = np.argsort(chars[place], kind="stable")[ends:]
-        came, c = block[by], chars[place[by]]
+    place, block, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.uint8)
+    new = np.ones(n, bool)  # terminators differ from one another and from all else
+    for _ in range(depth):
+        there = chars[place]
+        by = np.argsort(there, kind="stable")[ends:]
+        came, c = block[by], there[by]
         place = np.concatenate((first, step[place[by]]))
-        new = np.ones(n, bool)  # terminators differ from one another and from all else
         if n > ends:
-            new[ends + 1 :] = (c[1:] != c[:-1]) | (came[1:] != came[:-1])
-        common[new & (common == depth)] = h - 1
+            np.not_equal(c[1:], c[:-1], out=new[ends + 1 :])
+            new[ends + 1 :] |= came[1:] != came[:-1]
+        common += ~new  # a block's head stays one
         block = np.cumsum(new, dtype=np.int32)
         if block[-1:] == n:
             break
@@ -95,21 +88,22 @@ def repeated(items: list[bytes], docs: np.ndarray, width: int, shards: int = 4)
     """For each string the smallest of docs over all strings that hold the same `width` bytes, for every
     start of such a window in it."""
     parts, orders, before, base = np.array_split(np.arange(len(items)), min(shards, max(1, len(items)))), [], [], 0
-    starts, owner, room = [], [], []
+    starts, owner = [], []
     for part in parts:
         s = Strings([items[i] for i in part])
-        order, b = transform(s)
+        order, b = transform(s, width)
         orders.append(order + base)
         before.append(b)
         starts.append(s.starts + base)
         owner.append(np.repeat(part, s.lengths + 1))
-        room.append(np.repeat(s.starts + s.lengths, s.lengths + 1) - np.arange(len(s.text)))
         base += len(s.text)
-    place, common = merge(before, width)
-    at, owner, room = np.concatenate(orders)[place], np.concatenate(owner), np.concatenate(room)
+    order, owner, first = np.concatenate(orders), np.concatenate(owner), np.concatenate(starts)
+    rank = np.empty(base, np.int32)
+    rank[order] = np.arange(base, dtype=np.int32)
+    place, common = merge(before, rank[order - 1], width)
+    at = order[place]
     heads = np.flatnonzero(common < width)
     least = np.minimum.reduceat(docs[owner[at]], heads) if len(heads) else np.empty(0, np.int64)
     of = np.empty(base, np.int64)
     of[at] = np.repeat(least, np.diff(np.append(heads, len(at))))
-    first = np.concatenate(starts)
     return [of[a : a + max(0, len(x) - width + 1)] for a, x in zip(first.tolist(), items)]
