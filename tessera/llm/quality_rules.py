@@ -148,7 +148,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = [f"__own_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*own).withColumns({"doc_id": F.col(own[docs.columns.index("doc_id")]).cast("long"), "stratum": F.coalesce(F.col(own[docs.columns.index("lang")]).cast("string"), F.lit(""))})
     rows = measured(rows, own[docs.columns.index("text")]).withColumn("base_failed", base_failed()).withColumns({m: F.expr(e) for m, e in METRICS.items()})
-    written = materialize(rows.where("not base_failed"), "measured")
+    # written before anything is filtered: a filter pushed below would repeat the nested expressions
+    written = materialize(rows, "measured").where("not base_failed")
     over = F.lit(False)
     for m in METRICS:
         over = over | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))

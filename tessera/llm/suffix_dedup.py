@@ -118,9 +118,9 @@ def sliced(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(h, edges), [len(h)])).astype(np.int64)
 
 
-def pack_batches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of documents, compressed: batch, doc ids, lengths and texts. Written once, so that a batch is
-    the same in every later step."""
+def pack_batches(docs: DataFrame, doc_id: str, text: str, rest: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of documents, compressed: batch, doc ids, lengths and texts, and the columns in `rest` as an Arrow
+    stream. Written once, so that a batch is the same in every later step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -129,10 +129,23 @@ def pack_batches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         batch_id = TaskContext.get().partitionId() << 32
         for x in chunks(batches, "text", BATCH_BYTES):
             texts, ids = utf8(x.column("text")), x.column("doc_id")
-            yield pa.record_batch({"batch": [batch_id], "n_bytes": [sum(map(len, texts))], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "digests": pa.array([[hashlib.sha256(t).digest() for t in texts]], pa.list_(pa.binary())), "data": [zstandard.compress(b"".join(texts), 3)]})
+            yield pa.record_batch({"batch": [batch_id], "n_bytes": [sum(map(len, texts))], "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([list(map(len, texts))], pa.list_(pa.int64())), "digests": pa.array([[hashlib.sha256(t).digest() for t in texts]], pa.list_(pa.binary())), "data": [zstandard.compress(b"".join(texts), 3)], "rest": pa.array([streamed(x.column("rest"))], pa.binary())})
             batch_id += 1
 
-    return materialize(bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, digests array<binary>, data binary"), "batches")
+    others = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("struct<none:int>")
+    return materialize(bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), others.alias("rest")).mapInArrow(run, "batch long, n_bytes long, ids array<long>, lengths array<long>, digests array<binary>, data binary, rest binary"), "batches")
+
+
+def streamed(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([column], names=["rest"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unstreamed(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
 
 
 def unpack(row: dict) -> tuple[list, list[bytes]]:
@@ -205,8 +218,9 @@ DOCS = "row long, doc_id long, n_bytes long, n_removed long, sha256 string, text
 EMPTY = hashlib.sha256().digest()
 
 
-def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int) -> DataFrame:
-    """One row per document: without candidate windows its digest, else its text and candidate runs."""
+def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int, rest_type: str = "struct<none:int>", all_texts: bool = False) -> DataFrame:
+    """One row per document: without candidate windows its digest (and its text if all_texts), else its text
+    and candidate runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -229,13 +243,14 @@ def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int
                     a, b = upto[i], upto[i + 1]
                     some = b > a
                     n, digest = row["lengths"][i], EMPTY if i in gone else row["digests"][i]
-                    rows.append(((row["batch"] << 22) + i, d, n, n if i in gone else 0, None if some else digest.hex(), t if some else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
+                    rows.append(((row["batch"] << 22) + i, d, n, n if i in gone else 0, None if some else digest.hex(), t if some or all_texts else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in DOCS.split(", ")])
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.record_batch([*columns, unstreamed(row["rest"])], names=[*(c.split()[0] for c in DOCS.split(", ")), "rest"])
 
     told = shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))
     joined = packed.join(told, "batch", "left")
-    return materialize(joined.mapInArrow(run, DOCS), "judged")
+    return materialize(joined.mapInArrow(run, f"{DOCS}, rest {rest_type}"), "judged")
 
 
 def _strings(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
@@ -267,7 +282,7 @@ def index_strings(judged: DataFrame, width: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return judged.where("text is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, first long, last long")
+    return judged.where("starts is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, first long, last long")
 
 
 def merged_ids(strings: DataFrame, width: int) -> DataFrame:
@@ -336,18 +351,21 @@ def removed_runs(judged: DataFrame, least: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["row", "doc_id", "at", "key", "h"])
 
-    there = judged.where("text is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "row long, doc_id long, at int, key long, h long")
+    there = judged.where("starts is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "row long, doc_id long, at int, key long, h long")
     return there.join(least, ["key", "h"]).where("doc_id > least").select("row", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + width).alias("b"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept binary"
 
 
-def cut(judged: DataFrame, runs: DataFrame) -> DataFrame:
+def cut(judged: DataFrame, runs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """doc_id, counts, digest, spans, the remaining bytes (without parts of characters that a cut has left, if
+    whole_characters) and rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             out = []
-            for row in batch.to_pylist():
+            for row in batch.select(["doc_id", "text", "runs"]).to_pylist():
                 spans: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"]) for r in row["runs"] or []):
                     if spans and a <= spans[-1][1]:
@@ -359,28 +377,41 @@ def cut(judged: DataFrame, runs: DataFrame) -> DataFrame:
                     kept.append(t[at:a])
                     at = b
                 kept = b"".join([*kept, t[at:]])
-                out.append((row["doc_id"], len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in spans], kept))
+                whole = kept.decode("utf-8", "ignore").encode() if whole_characters and spans else kept
+                out.append((row["doc_id"], len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in spans], whole))
             if out:
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=[c.split()[0] for c in RESULT.replace("array<struct<a:int,b:int>>", "x").split(", ")])
+                yield pa.record_batch([*(pa.array(c, kind) for c, kind in zip(zip(*out), kinds)), batch.column("rest")], names=[*(c.split()[0] for c in RESULT.replace("array<struct<a:int,b:int>>", "x").split(", ")), "rest"])
 
     grouped = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    some = judged.where("text is not null").select("row", "doc_id", "text").join(grouped, "row", "left")
-    whole = judged.where("text is null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("if(n_removed > 0, array(named_struct('a', 0, 'b', cast(n_bytes as int))), null)").alias("spans"), F.expr("if(n_removed > 0, X'', null)").alias("kept"))
-    return whole.unionByName(some.mapInArrow(run, RESULT))
+    some = judged.where("starts is not null").select("row", "doc_id", "text", "rest").join(grouped, "row", "left")
+    whole = judged.where("starts is null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("if(n_removed > 0, array(named_struct('a', 0, 'b', cast(n_bytes as int))), null)").alias("spans"), F.expr("if(n_removed > 0, X'', text)").alias("kept"), "rest")
+    return whole.unionByName(some.mapInArrow(run, f"{RESULT}, rest {dict(judged.dtypes)['rest']}"))
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts, digest of what is left, the removed spans and the remaining bytes
-    (both null where nothing was looked at: the text is whole)."""
-    written = pack_batches(docs, doc_id, text)
+def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER, doc_id: str = "doc_id", text: str = "text", rest: tuple[str, ...] = (), all_texts: bool = False) -> DataFrame:
+    """One row per document: counts, digest of what is left, the removed spans and the remaining bytes (both
+    null where nothing can repeat, unless all_texts asks for the bytes), and the columns of `rest`."""
+    written = pack_batches(docs, doc_id, text, rest)
     packed = with_copies(written, width)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_BYTES))
-    judged = judge(packed, shared_minimizers(packed, buckets, width, k), buckets, width, k)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    rest_type = "struct<" + (",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) or "none:int") + ">"
+    judged = judge(packed, shared_minimizers(packed, buckets, width, k), buckets, width, k, rest_type, all_texts)
     discard(written)
     least = materialize(merged_ids(index_strings(judged, width), width), "least")
-    return cut(judged, removed_runs(judged, least, width))
+    return cut(judged, removed_runs(judged, least, width), whole_characters=all_texts)
+
+
+def drop_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the repeated bytes cut out of the text (and with them the parts of characters that a cut leaves), all other columns kept,
+    n_chars counted anew if there is one. Documents of which nothing is left go."""
+    others = tuple(c for c in docs.columns if c != text)
+    cut_ = repeats(docs, width, doc_id=doc_id, text=text, rest=others, all_texts=True).where("n_removed = 0 or n_removed < n_bytes")
+    named = cut_.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)], F.col("kept").cast("string").alias(text))
+    named = named.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in others else named
+    return named.where(F.col(text).isNotNull()).select(*docs.columns)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
