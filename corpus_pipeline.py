@@ -1,8 +1,61 @@
-"""Corpus pipeline: documents -> quality rules -> near-dedup -> repeat removal -> decontamination -> packing."""
+"""Corpus pipeline: documents -> quality rules -> near-dedup -> repeat removal -> decontamination -> packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. run() writes each stage's result as Parquet to the shared folder and reads it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialize
+from tessera.llm.decontaminate import decontaminated
+from tessera.llm.packing import pack
+from tessera.llm.quality_rules import filter_documents, good_labels
+from tessera.llm.simhash import near_groups
+from tessera.llm.suffix_dedup import drop_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return filter_documents(docs, good_labels(spark, sf_dir))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles) the document with the smallest doc_id stays."""
+    groups = near_groups(docs, shingle=5)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat an earlier document's go, cut back to whole characters; emptied documents go."""
+    return drop_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("__matches") == 0).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 token ids, one row per piece."""
+    import public_tokenizers
+
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "ids")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("decontamination", decontamination), ("packing", packing)]
+
+#: The stages hash, merge and tokenize: no SQL expresses them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
