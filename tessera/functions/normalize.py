@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Legal forms and their canonical short forms.
 LEGAL_FORMS = {
@@ -51,7 +52,7 @@ def _tables() -> tuple[str, str, str]:
     return "".join(one + gone), "".join(base), "[가-힣" + "".join(many) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompose(s: pd.Series) -> pd.Series:
     """N1, exact for every character."""
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
