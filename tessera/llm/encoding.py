@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -34,6 +34,7 @@ def exact_by_words(path: str) -> bool:
 class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.tokenizer, self.limit, self.by_words = _tokenizer(path), cache_words, exact_by_words(path)
+        self.lower = self._batch(["AbC"]) == self._batch(["abc"])
         self._clear()
 
     def _clear(self) -> None:
@@ -46,7 +47,11 @@ class Encoder:
         return [x.ids for x in encode(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        ids = self._batch([w.decode("utf-8", "replace") for w in new])
+        # a final stop after a letter is a pre-token of its own
+        cut = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in b".,;:!?" and 97 <= w[-2] <= 122 else (w, b"") for w in new]
+        roots = list({x for pair in cut for x in pair})
+        of = dict(zip(roots, self._batch([w.decode("utf-8", "replace") for w in roots])))
+        ids = [of[a] + of[b] if b else of[a] for a, b in cut]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         first = len(self.known)
@@ -66,7 +71,8 @@ class Encoder:
             ids = [x + ([] if end is None else [end]) for x in self._batch([t.decode("utf-8", "replace") for t in texts])]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
-        words = [t.split() for t in texts]
+        # the tokenizer lower-cases all but its special tokens, which <| begins
+        words = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
         if len(self.known) > self.limit:
             self._clear()
         known = self.known
@@ -84,3 +90,9 @@ class Encoder:
             flat = np.insert(flat, upto[1:], end).astype(np.uint32)
             per_text = per_text + 1
         return flat, per_text
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it has learnt serves its later tasks too."""
+    return Encoder(path)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 
-from tessera.llm import bwt, chat_format, decontaminate, elias_fano, language_model, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files, url_filter
+from tessera.llm import bwt, chat_format, decontaminate, elias_fano, encoding, language_model, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files, url_filter
 from tessera.llm.common import fresh_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string"
@@ -34,7 +34,7 @@ def test_token_files(spark):
         got = token_files.read_tokens(spark, token_files.write_tokens(table(spark, texts), path, 2, fresh_path(spark, "t"))).orderBy("start").collect()
         at = 0
         for row, (i, t) in zip(got, sorted(texts, key=lambda x: (x[0], x[1] or "")), strict=True):
-            ids = np.array(packing.Encoder(path).tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+            ids = np.array(encoding.encoder(path).tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
             assert tuple(row) == (i, at, len(ids), zlib.crc32(ids))
             at += len(ids)
 
@@ -54,7 +54,7 @@ def test_packing(spark):
         total = sum(r.length for r in s)
         assert total <= 256 and len(s) <= 4 and total <= 200 or total & (total - 1) == 0 and total <= 256
     for i, t in texts:
-        ids = packing.Encoder(path).tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        ids = encoding.encoder(path).tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
         parts = sorted(docs[i], key=lambda r: r.start)
         assert b"".join(bytes(r.ids) for r in parts) == np.array(ids, "<u4").tobytes() and all(r.doc_tokens == len(ids) for r in parts)
     assert packing.pack(table(spark, []), path, 1).count() == 0
