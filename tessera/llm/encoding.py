@@ -8,13 +8,18 @@ for others whole texts are encoded.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import regex
 
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+#: Lower-case letters, digits and signs of ASCII, and Latin letters but the dotted capital I.
+_PLAIN = regex.compile(r"[!-@\[-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -31,40 +36,117 @@ def exact_by_words(path: str) -> bool:
     return all(t.encode(f"ab{x}cd", add_special_tokens=False).ids == t.encode("ab", add_special_tokens=False).ids + t.encode("cd", add_special_tokens=False).ids for x in (" ", "\n", " \t\r\n", "  ")) and not t.encode(" \n ", add_special_tokens=False).ids
 
 
+class Numbers(dict):
+    """Words by number. A word that is asked for and not known gets the next number and is noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
+class Joined:
+    """Encodes many words as one text and cuts the ids where words end.
+
+    This needs a BPE whose pre-tokens end in a token of their own kind (an end-of-word suffix): a word then has
+    as many such tokens as the tokenizer's own split pattern finds pre-tokens in it. Only words of lower-case
+    letters and signs whose classes and normal form are beyond doubt are joined; `plain` tells which."""
+
+    #: Words a text: more slow the tokenizer down.
+    WORDS = 500
+
+    def __init__(self, tokenizer):
+        told = json.loads(tokenizer.to_str())
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.usable = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "Regex" in split.get("pattern", {})
+        if self.usable:
+            self.tokenizer = tokenizer
+            self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+            ids = tokenizer.get_vocab()
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for t, i in ids.items() if t.endswith(suffix)]] = True
+            self.letters_are_one = len(self.pieces("abcxyz\xe0\xff\u0101\u017f")) == 1
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        return _PLAIN(word) is not None and "<|" not in word
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids and the number of ids of each word; None if the ends don't tally."""
+        counts = np.fromiter((1 if self.letters_are_one and w.isalpha() else len(self.pieces(w)) for w in words), np.int64, len(words))
+        groups = [" ".join(words[a : a + self.WORDS]) for a in range(0, len(words), self.WORDS)]
+        each = [np.array(x.ids, np.uint32) for x in _batch_of(self.tokenizer, groups)]
+        ends = [np.flatnonzero(self.ends[x]) + 1 for x in each]
+        if [len(x) for x in ends] != [int(counts[a : a + self.WORDS].sum()) for a in range(0, len(words), self.WORDS)] or not counts.all():
+            return None
+        before = np.cumsum([0] + [len(x) for x in each])[:-1]
+        last = np.concatenate([e + b for e, b in zip(ends, before)])[np.cumsum(counts) - 1]
+        return np.concatenate(each), np.diff(last, prepend=0)
+
+
+def _batch_of(tokenizer, texts: list[str]) -> list:
+    return getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)(texts, add_special_tokens=False)
+
+
 class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.tokenizer, self.limit, self.by_words = _tokenizer(path), cache_words, exact_by_words(path)
         self.lower = self._batch(["AbC"]) == self._batch(["abc"])
+        self.joined = Joined(self.tokenizer)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.flat, self.n = np.empty(1 << 16, np.uint32), 0
         self.offsets, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [x.ids for x in encode(texts, add_special_tokens=False)]
+        return [x.ids for x in _batch_of(self.tokenizer, texts)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        # a final stop after a letter is a pre-token of its own
-        cut = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in b".,;:!?" and 97 <= w[-2] <= 122 else (w, b"") for w in new]
-        roots = list({x for pair in cut for x in pair})
-        of = dict(zip(roots, self._batch([w.decode("utf-8", "replace") for w in roots])))
-        ids = [of[a] + of[b] if b else of[a] for a, b in cut]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        first = len(self.known)
+    def _store(self, numbers: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
         if self.n + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.n + len(flat)))
-        if first + len(new) > len(self.offsets):
-            self.offsets, self.lengths = (np.resize(x, 2 * (first + len(new))) for x in (self.offsets, self.lengths))
         self.flat[self.n : self.n + len(flat)] = flat
-        self.offsets[first : first + len(new)] = self.n + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(new)] = lengths
-        self.known.update(zip(new, range(first, first + len(new))))
+        self.offsets[numbers] = self.n + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
         self.n += len(flat)
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes the words that were numbered last."""
+        first, texts = len(self.known) - len(new), [w.decode("utf-8", "replace") for w in new]
+        if len(self.known) > len(self.offsets):
+            self.offsets, self.lengths = (np.resize(x, 2 * len(self.known)) for x in (self.offsets, self.lengths))
+        plain = np.fromiter((self.joined.usable and self.joined.plain(w) for w in texts), bool, len(texts))
+        for a in range(0, len(texts), 1 << 15):
+            own = np.flatnonzero(plain[a : a + (1 << 15)]) + a
+            if len(own) and (got := self.joined.encode([texts[i] for i in own.tolist()])):
+                self._store(first + own, *got)
+            else:
+                plain[own] = False
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            ids = self._batch([texts[i] for i in rest.tolist()])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(first + rest, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def _numbers(self, words: list[list[bytes]], n: int) -> np.ndarray:
+        if len(self.known) > self.limit:
+            self._clear()
+        try:
+            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, n)
+            if self.known.new:
+                self._learn(self.known.new)
+                self.known.new = []
+        except BaseException:  # words may be numbered but not encoded
+            self._clear()
+            raise
+        return index
+
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each; `end` is appended to each."""
         if not self.by_words:
@@ -73,13 +155,8 @@ class Encoder:
             return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
         # the tokenizer lower-cases all but its special tokens, which <| begins
         words = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
-        if len(self.known) > self.limit:
-            self._clear()
-        known = self.known
-        if new := list({w for ws in words for w in ws if w not in known}):
-            self._learn(new)
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        index = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        index = self._numbers(words, int(counts.sum()))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
