@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import regex
 
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+#: Text bytes to encode at once.
+TEXT_BYTES = 2 << 20
 #: Lower-case letters, digits and signs of ASCII, and Latin letters but the dotted capital I.
 _PLAIN = regex.compile(r"[!-@\[-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 
@@ -103,7 +105,33 @@ class Encoder:
     def _clear(self) -> None:
         self.known = Numbers()
         self.flat, self.n = np.empty(1 << 16, np.uint32), 0
-        self.offsets, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.offsets, self.lengths, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keeps the words used twice or more, at most half of the limit: most words are rare."""
+        uses = self.uses[: len(self.known)]
+        keep = np.flatnonzero(uses >= 2)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: self.limit // 2]])
+        chosen = np.zeros(len(uses), bool)
+        chosen[keep] = True
+        words, uses, lengths = list(compress(self.known, chosen.tolist())), uses[keep] // 2, self.lengths[keep]
+        flat = self._ids(keep)
+        self._clear()
+        self.known.update(zip(words, range(len(words))))
+        self._reserve()
+        self._store(np.arange(len(words)), flat, lengths)
+        self.uses[: len(words)] = uses
+
+    def _reserve(self) -> None:
+        if len(self.known) > len(self.offsets):
+            self.offsets, self.lengths, self.uses = (np.concatenate((x, np.zeros(2 * len(self.known) - len(x), np.int64))) for x in (self.offsets, self.lengths, self.uses))
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, end to end."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.offsets[numbers] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in _batch_of(self.tokenizer, texts)]
@@ -119,8 +147,7 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         """Encodes the words that were numbered last."""
         first, texts = len(self.known) - len(new), [w.decode("utf-8", "replace") for w in new]
-        if len(self.known) > len(self.offsets):
-            self.offsets, self.lengths = (np.resize(x, 2 * len(self.known)) for x in (self.offsets, self.lengths))
+        self._reserve()
         plain = np.fromiter((self.joined.usable and self.joined.plain(w) for w in texts), bool, len(texts))
         for a in range(0, len(texts), 1 << 15):
             own = np.flatnonzero(plain[a : a + (1 << 15)]) + a
@@ -136,12 +163,13 @@ class Encoder:
 
     def _numbers(self, words: list[list[bytes]], n: int) -> np.ndarray:
         if len(self.known) > self.limit:
-            self._clear()
+            self._forget()
         try:
             index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, n)
             if self.known.new:
                 self._learn(self.known.new)
                 self.known.new = []
+            self.uses[: len(self.known)] += np.bincount(index, minlength=len(self.known))
         except BaseException:  # words may be numbered but not encoded
             self._clear()
             raise
@@ -157,11 +185,8 @@ class Encoder:
         words = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         index = self._numbers(words, int(counts.sum()))
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.offsets[index] - ends + lengths, lengths) + np.arange(total)]
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        flat = self._ids(index)
+        upto = np.concatenate(([0], np.cumsum(self.lengths[index])))[np.concatenate(([0], np.cumsum(counts)))]
         per_text = np.diff(upto)
         if end is not None:
             flat = np.insert(flat, upto[1:], end).astype(np.uint32)

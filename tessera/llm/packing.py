@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, chunks, utf8
-from tessera.llm.encoding import encoder
+from tessera.llm.encoding import TEXT_BYTES, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Lim
         tokens, first = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
 
         def items() -> Iterator[Item]:
-            for batch in chunks(batches, "text"):
+            for batch in chunks(batches, "text", TEXT_BYTES):
                 flat, lengths = tokens.encode(utf8(batch.column("text")), end_id)
                 ends = np.cumsum(lengths)
                 for doc, free, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("free").to_pylist(), (ends - lengths).tolist(), ends.tolist()):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, chunks, fresh_path, local_file, utf8
-from tessera.llm.encoding import encoder
+from tessera.llm.encoding import TEXT_BYTES, encoder
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_bytes: int = 2, doc_id: str = "doc_id", text: str = "text") -> str:
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
         own, ids, counts = f"{folder}/.{part:05d}-{uuid.uuid4().hex}", [], []
         os.makedirs(folder, exist_ok=True)
         with open(f"{own}.ids", "wb") as out:
-            for batch in chunks(batches, "text"):
+            for batch in chunks(batches, "text", TEXT_BYTES):
                 flat, lengths = tokens.encode(utf8(batch.column("text")), end_id)
                 if len(flat) and int(flat.max()) >= 1 << 8 * id_bytes:
                     raise ValueError(f"token id {flat.max()} needs more than {id_bytes} bytes")
