@@ -39,6 +39,19 @@ def test_token_files(spark):
             at += len(ids)
 
 
+def test_encoder():
+    """Joined, single and forgotten words all give the tokenizer's own ids."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    odd = ["don't it's 'tis !'s ''", "a<|endoftext|>b <|x", "\u0130stanbul \u00c9 \u00bd\u00bd x\u00b2y", "\u4e2d\u6587 \u0301", "\x00 \x1c a\x1fb \x85 ", "", " \t\n"]
+    odd += ["".join(rng.choice("abz\u00e9'.,!$1 _<|>\u00bdST\u0130  \n") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    own = encoding.Encoder(path, 500)
+    assert own.joined.usable
+    for a in range(0, len(odd), 100):
+        flat, lengths = own.encode([t.encode() for t in odd[a : a + 100]], 2)
+        want = [own.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in odd[a : a + 100]]
+        assert lengths.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     limits = packing.Limits(256, 4, 200)
