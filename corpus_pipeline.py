@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 from tessera.llm.decontaminate import decontaminated
+from tessera.llm.near_copies import near_copies
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import filter_documents, good_labels
-from tessera.llm.simhash import near_groups
 from tessera.llm.suffix_dedup import drop_repeats
 
 
@@ -23,9 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest doc_id stays."""
-    groups = near_groups(docs, shingle=5)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near copies (sets of five-word shingles with Jaccard similarity 0.8 or more) the
+    document with the smallest doc_id stays."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 0.8).withColumnRenamed("doc_id", "__row")
+    groups = found.join(rows.select("__row", "doc_id"), "__row")
+    gone = groups.join(groups.groupBy("group").agg(F.min("doc_id").alias("least")), "group").where("doc_id <> least").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
