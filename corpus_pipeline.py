@@ -23,13 +23,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (sets of five-word shingles with Jaccard similarity 0.8 or more) the
-    document with the smallest doc_id stays."""
+    """Of each group of near copies (sets of five-word shingles with Jaccard similarity 0.8 or more) one row
+    stays: that with the smallest doc_id, null ids last, and of equal ids the first row. Rows are told apart by a
+    key of their own: rows that share an id or have none stay if they are no copies."""
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = near_copies(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 0.8).withColumnRenamed("doc_id", "__row")
-    groups = found.join(rows.select("__row", "doc_id"), "__row")
-    gone = groups.join(groups.groupBy("group").agg(F.min("doc_id").alias("least")), "group").where("doc_id <> least").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    groups = materialize(found.join(rows.select("__row", "doc_id"), "__row"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = groups.groupBy("group").agg(F.min(order)["__row"].alias("first"))
+    gone = groups.join(first, "group").where("__row <> first").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

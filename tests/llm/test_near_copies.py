@@ -51,3 +51,15 @@ def test_walk_verifies_each_pair():
         return up
 
     assert groups(edges) == groups(want) and all((max(e), min(e)) in want for e in edges)
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    """Rows without an id, and rows that share one, stay unless they are copies."""
+    rng = random.Random(6)
+    said = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(90))
+    a, b, c, d, e, f = (said() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (7, c), (8, d), (8, e), (5, d), (9, f), (9, f), (None, a + " end")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS).coalesce(1)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    want = [(None, a), (None, b), (7, c), (5, d), (8, e), (9, f)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
