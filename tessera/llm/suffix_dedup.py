@@ -212,7 +212,7 @@ def _same_doc(ids: list) -> np.ndarray:
     return np.array([seen.setdefault(("", i) if d is None else d, len(seen)) for i, d in enumerate(ids)], np.int64)
 
 
-DOCS = "row long, doc_id long, n_bytes long, n_removed long, sha256 string, text binary, starts array<int>, counts array<int>, keys array<long>"
+DOCS = "batch long, row int, doc_id long, n_bytes long, n_removed long, sha256 string, text binary, starts array<int>, counts array<int>, keys array<long>"
 
 
 EMPTY = hashlib.sha256().digest()
@@ -243,8 +243,8 @@ def judge(packed: DataFrame, shared: DataFrame, buckets: int, width: int, k: int
                     a, b = upto[i], upto[i + 1]
                     some = b > a
                     n, digest = row["lengths"][i], EMPTY if i in gone else row["digests"][i]
-                    rows.append(((row["batch"] << 22) + i, d, n, n if i in gone else 0, None if some else digest.hex(), t if some or all_texts else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                    rows.append((row["batch"], i, d, n, n if i in gone else 0, None if some else digest.hex(), t if some or all_texts else None, start[a:b].tolist() if some else None, count[a:b].tolist() if some else None, h[a:b].view(np.int64).tolist() if some else None))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.record_batch([*columns, unstreamed(row["rest"])], names=[*(c.split()[0] for c in DOCS.split(", ")), "rest"])
 
@@ -257,7 +257,7 @@ def _strings(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     for row in batch.to_pylist():
         t = row["text"]
         for a, n, key in zip(row["starts"], row["counts"], row["keys"]):
-            yield row["row"], row["doc_id"], a, key, t[a : a + n + width - 1]
+            yield row["batch"], row["row"], row["doc_id"], a, key, t[a : a + n + width - 1]
 
 
 def index_strings(judged: DataFrame, width: int) -> DataFrame:
@@ -275,14 +275,14 @@ def index_strings(judged: DataFrame, width: int) -> DataFrame:
                 held.clear()
 
         for batch in chunks(batches, "text"):
-            for _, doc, _, key, string in _strings(batch, width):
+            for _, _, doc, _, key, string in _strings(batch, width):
                 a, b = held.get((key, string), (doc, doc))
                 held[key, string] = min(a, doc), max(b, doc)
             if len(held) > 100_000:
                 yield from out()
         yield from out()
 
-    return judged.where("starts is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, first long, last long")
+    return judged.where("starts is not null").select("batch", "row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "key long, string binary, first long, last long")
 
 
 def merged_ids(strings: DataFrame, width: int) -> DataFrame:
@@ -340,19 +340,19 @@ def merged_ids(strings: DataFrame, width: int) -> DataFrame:
 
 
 def removed_runs(judged: DataFrame, least: DataFrame, width: int) -> DataFrame:
-    """row, a, b: bytes a..b-1 of the row's text go (runs may overlap)."""
+    """batch, row, a, b: bytes a..b-1 of the row's text go (runs may overlap)."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            rows = [(row, doc, a, key, digest(s) - (1 << 63)) for row, doc, a, key, s in _strings(batch, width)]
+            rows = [(of, row, doc, a, key, digest(s) - (1 << 63)) for of, row, doc, a, key, s in _strings(batch, width)]
             if rows:
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["row", "doc_id", "at", "key", "h"])
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["batch", "row", "doc_id", "at", "key", "h"])
 
-    there = judged.where("starts is not null").select("row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "row long, doc_id long, at int, key long, h long")
-    return there.join(least, ["key", "h"]).where("doc_id > least").select("row", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + width).alias("b"))
+    there = judged.where("starts is not null").select("batch", "row", "doc_id", "text", "starts", "counts", "keys").mapInArrow(run, "batch long, row int, doc_id long, at int, key long, h long")
+    return there.join(least, ["key", "h"]).where("doc_id > least").select("batch", "row", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + width).alias("b"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept binary"
@@ -383,8 +383,8 @@ def cut(judged: DataFrame, runs: DataFrame, whole_characters: bool = False) -> D
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
                 yield pa.record_batch([*(pa.array(c, kind) for c, kind in zip(zip(*out), kinds)), batch.column("rest")], names=[*(c.split()[0] for c in RESULT.replace("array<struct<a:int,b:int>>", "x").split(", ")), "rest"])
 
-    grouped = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    some = judged.where("starts is not null").select("row", "doc_id", "text", "rest").join(grouped, "row", "left")
+    grouped = runs.groupBy("batch", "row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    some = judged.where("starts is not null").select("batch", "row", "doc_id", "text", "rest").join(grouped, ["batch", "row"], "left")
     whole = judged.where("starts is null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.expr("if(n_removed > 0, array(named_struct('a', 0, 'b', cast(n_bytes as int))), null)").alias("spans"), F.expr("if(n_removed > 0, X'', text)").alias("kept"), "rest")
     return whole.unionByName(some.mapInArrow(run, f"{RESULT}, rest {dict(judged.dtypes)['rest']}"))
 
