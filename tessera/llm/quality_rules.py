@@ -8,7 +8,8 @@ most `risk` of its stratum's good documents. Of the allowed cutoffs the largest
 as many bad documents as the best is used; a stratum with too few labels gets none and rejects nothing.
 
 The text is read once; the metrics (a few numbers a document) are written to the shared folder and give the
-counts. Only counts per stratum reach the driver, for at most MAX_STRATA strata; smaller ones are pooled.
+counts. Only counts per stratum reach the driver. Beyond MAX_STRATA strata with labelled documents, those with
+the fewest good ones (and strata without labels) are one pooled stratum with cutoffs of its own.
 
 Null texts have no words. Null strata are the stratum ''. Repeated rows are judged alike; a document with
 several labels counts as bad if one of them is. Labels of unknown documents count nowhere. Empty tables give
@@ -103,7 +104,8 @@ def choose(counts: list[dict], risk: float, delta: float) -> list[dict]:
 
 
 def thresholds(metrics: DataFrame, labels: DataFrame, risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """metrics: doc_id, stratum, base_failed and the metrics; labels: doc_id, good. A row per stratum."""
+    """metrics: doc_id, stratum, base_failed and the metrics; labels: doc_id, good. A row per stratum;
+    the pooled one's, if there is one, has a null stratum."""
     spark = metrics.sparkSession
     known = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     once = metrics.where("not base_failed and doc_id is not null").join(known, "doc_id").where("good is not null")
@@ -113,11 +115,26 @@ def thresholds(metrics: DataFrame, labels: DataFrame, risk: float = 0.005, delta
             over = (F.col(m) > t).cast("int")
             aggs += [F.sum(over * F.col("good")).alias(f"g_{m}_{j}"), F.sum(over * (1 - F.col("good"))).alias(f"b_{m}_{j}")]
     per = once.groupBy("stratum").agg(*aggs)
-    rows = [r.asDict() for r in per.orderBy(F.desc("good"), "stratum").limit(MAX_STRATA).collect()]
+    rows = [r.asDict() for r in per.orderBy(F.desc("good"), "stratum").limit(MAX_STRATA + 1).collect()]
+    if len(rows) > MAX_STRATA:
+        rows.pop()
+        own = spark.createDataFrame([(r["stratum"],) for r in rows], "stratum string")
+        pooled = per.join(F.broadcast(own), "stratum", "left_anti").agg(*[F.sum(c).alias(c) for c in per.columns if c != "stratum"])
+        rows.append({"stratum": None} | pooled.first().asDict())
     fields = "stratum string, " + ", ".join(f"cut_{m} double" for m in METRICS)
     return spark.createDataFrame([tuple(c.values()) for c in choose(rows, risk, delta)], fields)
 
 
+def with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows with their stratum's cutoffs, or the pooled stratum's if their own isn't named in cuts."""
+    pooled = cuts.where("stratum is null").first()
+    named = cuts.where("stratum is not null").withColumn("__named", F.lit(True))
+    joined = rows.join(F.broadcast(named), "stratum", "left")  # MAX_STRATA rows at most
+    if pooled:
+        joined = joined.withColumns({f"cut_{m}": F.when(F.col("__named"), F.col(f"cut_{m}")).otherwise(F.lit(pooled[f"cut_{m}"])) for m in METRICS})
+    return joined.drop("__named")
+
+
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
     """doc_id, the base columns, base_failed and kept, for every row of docs."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
@@ -127,8 +144,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bad = over[0]
     for o in over[1:]:
         bad = bad | o
-    # MAX_STRATA rows at most
-    return rows.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop(*[f"cut_{m}" for m in METRICS])
+    return with_cuts(rows, cuts).withColumn("kept", ~F.col("base_failed") & ~bad).drop(*[f"cut_{m}" for m in METRICS])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -153,5 +169,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     over = F.lit(False)
     for m in METRICS:
         over = over | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    kept = written.join(F.broadcast(thresholds(written, labels)), "stratum", "left").where(~over)
+    kept = with_cuts(written, thresholds(written, labels)).where(~over)
     return kept.select(*own).toDF(*docs.columns)
