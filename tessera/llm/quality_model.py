@@ -32,6 +32,8 @@ HEURISTICS = ("length", "symbols", "shouting", "exclaiming", "variety", "lines",
 LABELLERS = (*HEURISTICS, "label_quality", "label_toxic")
 #: Classes of bad text, each with the labellers that tell it.
 KINDS = {"symbols": ("symbols",), "shouting": ("shouting", "exclaiming"), "repeating": ("variety",), "lines": ("lines",), "pipes": ("pipes",), "abusive": ("abuse", "label_toxic"), "labelled_low": ("label_quality",), "labelled_toxic": ("label_toxic",)}
+#: Words over which variety is measured; the least varied block of a text counts.
+BLOCK = 400
 UNLABELLED = 0.03
 BUCKETS, SAMPLE = 1 << 18, 20_000
 _UPPER = bytes(range(65, 91))
@@ -50,7 +52,7 @@ def votes(text: bytes) -> tuple[int, list[bytes], list[str]]:
     symbols = (len(text) - len(text.translate(None, _SYMBOLS))) / size
     upper = (len(text) - len(text.translate(None, _UPPER))) / size
     exclaim, pipes = text.count(b"!") / max(1, n), text.count(b"|") / max(1, n)
-    kinds = len(set(words)) / max(1, min(n, 400)) if n <= 400 else len(set(words[:400])) / 400
+    kinds = min((len(set(words[a : a + BLOCK])) / min(BLOCK, n - a) for a in range(0, n, BLOCK)), default=0.0)
     repeated = sum(a == b for a, b in zip(words, words[1:])) / max(1, n)
     lines = [x for x in text.split(b"\n") if x.strip()]
     same = 1 - len(set(lines)) / max(1, len(lines))
