@@ -3,11 +3,12 @@
 Overlapping labellers vote good (1), bad (2) or abstain (0) on every document: heuristics on the text and,
 where a document has them, its human labels. Votes depend on a latent class (clean, or one of several kinds
 of bad text); expectation-maximisation over the counts of vote patterns of all documents (at most
-3^labellers rows) estimates each labeller's behaviour per class, and so its accuracy. The posterior of clean
-given the votes is the soft label on which a logistic scorer over hashed features (words, their beginnings,
-shape) is trained by stochastic gradient steps. Only this last fit uses a sample: about `sample` documents
-with the smallest hashes of their ids, of which unlabelled ones weigh UNLABELLED; patterns and scores cover
-all documents.
+3^labellers rows) estimates each labeller's behaviour per class, and so its accuracy: of the human labels as of
+the heuristics. A class has rates of its own for the labellers that tell it, all others vote there as they do
+on clean texts, and what tells a class votes bad on at least half of its texts; a missing label says nothing. The posterior of clean given the votes is the soft label on which a
+logistic scorer over hashed features (words, their beginnings, shape) is trained by stochastic gradient steps.
+Only this last fit uses a sample of about `sample` documents, all of one weight: half from the labelled ones, half
+from all, by the smallest hashes of their ids; patterns and scores cover all documents.
 
 Only narrow rows (patterns, sampled features) are joined to the labels; texts are never shuffled. Null texts
 are empty texts. Repeated rows are scored alike; a null doc_id is scored but not sampled. Of several labels
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, chunks, utf8
@@ -34,7 +35,6 @@ LABELLERS = (*HEURISTICS, "label_quality", "label_toxic")
 KINDS = {"symbols": ("symbols",), "shouting": ("shouting", "exclaiming"), "repeating": ("variety",), "lines": ("lines",), "pipes": ("pipes",), "abusive": ("abuse", "label_toxic"), "labelled_low": ("label_quality",), "labelled_toxic": ("label_toxic",)}
 #: Words over which variety is measured; the least varied block of a text counts.
 BLOCK = 400
-UNLABELLED = 0.03
 BUCKETS, SAMPLE = 1 << 18, 20_000
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#*$%&<>"
@@ -119,10 +119,12 @@ class WeakLabels:
         n, v = np.array([counts[p] for p in patterns.tolist()], float), unpacked(patterns)
         self.prior = np.array([1 - 0.02 * len(KINDS)] + [0.02] * len(KINDS))
         start = np.tile((0.2, 0.78, 0.02), (len(KINDS) + 1, len(LABELLERS), 1))
-        start[:, -2:] = (1.0, 0.998, 0.002)  # a missing label says nothing
+        start[:, -2:] = (1.0, 0.99, 0.01)
+        own, tells = np.zeros((2, len(KINDS) + 1, len(LABELLERS)), bool)
         for c, told_by in enumerate(KINDS.values(), 1):
-            start[c, -2] = (1.0, 0.5, 0.5)  # a bad text's quality label may well say so
+            start[c, -2], own[c, -2] = (1.0, 0.5, 0.5), True  # a bad text's quality label may well say so
             for name in told_by:
+                own[c, LABELLERS.index(name)] = tells[c, LABELLERS.index(name)] = True
                 start[c, LABELLERS.index(name)] = (1.0, 0.05, 0.95) if name.startswith("label_") else (0.1, 0.05, 0.85)
         self.table = start.copy()
         last = -np.inf
@@ -130,11 +132,16 @@ class WeakLabels:
             post, like = self._posterior(v)
             weight = post * n[:, None]
             self.prior = (weight.sum(0) + 1) / (n.sum() + len(self.prior))
-            for vote in range(3):
-                self.table[:, :, vote] = np.einsum("pc,pk->ck", weight, v == vote)
-            # half of the estimate is the start's, so that each class stays what it is called
-            self.table = 0.5 * start + 0.5 * (self.table + start) / (self.table + start).sum(2, keepdims=True)
-            self.table[:, -2:] = start[:, -2:]  # labels are trusted at a fixed rate
+            seen = np.stack([np.einsum("pc,pk->ck", weight, v == vote) for vote in range(3)], 2)
+            # where a labeller does not tell a class, it votes as on clean texts; the start counts as one text
+            seen = np.where(own[:, :, None], seen, (seen * ~own[:, :, None]).sum(0)) + start
+            seen[:, -2:, 0] = 0
+            self.table = seen / seen.sum(2, keepdims=True)
+            # a class stays what it is called: what tells it votes bad on half of its texts or more
+            weak = tells & (self.table[:, :, 2] < 0.5)
+            self.table[weak, :2] *= 0.5 / self.table[weak, :2].sum(1, keepdims=True)
+            self.table[weak, 2] = 0.5
+            self.table[:, -2:, 0] = 1  # a missing label says nothing
             now = float((n * like).sum())
             if now - last < 1e-7 * abs(now):
                 break
@@ -152,8 +159,9 @@ class WeakLabels:
         return self._posterior(unpacked(np.arange(3 ** len(LABELLERS))))[0][:, 0]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, clean: np.ndarray, total: int, sample: int) -> list[tuple[float, float, np.ndarray]]:
-    """(soft label, weight, buckets) of about `sample` documents: a bound, not a share, of what reaches the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, clean: np.ndarray, counts: dict[int, int], sample: int) -> list[tuple[float, np.ndarray]]:
+    """(soft label, buckets) of about `sample` documents: a bound, not a share, of what reaches the driver.
+    Half are drawn from the labelled documents, half from all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, tuple] = {}
@@ -161,23 +169,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, clean: np.ndarray, total:
             got = [votes(t) for t in utf8(batch.column("text"))]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "pattern": pa.array([g[0] for g in got], pa.int64()), "x": pa.array([features(g[1], g[2], cache).astype("<i4").tobytes() for g in got], pa.binary())})
 
-    near = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) < int(min(1.0, sample / max(1, total)) * (1 << 62))
-    rows = bounded(docs).where(F.col("doc_id").isNotNull() & near).mapInArrow(run, "doc_id long, pattern long, x binary").join(label_votes(labels), "doc_id", "left")
-    return [(float(clean[9 * r["pattern"] + (r["by_label"] or 0)]), 1.0 if r["by_label"] else UNLABELLED, np.frombuffer(r["x"], "<i4").astype(np.int32)) for r in rows.orderBy(F.xxhash64("doc_id"), "pattern").toLocalIterator()]
+    def near(total: int) -> Column:
+        return F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) < int(min(1.0, sample / 2 / max(1, total)) * (1 << 62))
 
+    said = label_votes(labels).where("by_label <> 0")
+    drawn = said.where(near(max(said.count(), sum(n for p, n in counts.items() if p % 9)))).select("doc_id", F.lit(True).alias("drawn"))
+    # about sample / 2 ids: texts are not shuffled
+    rows = bounded(docs).where("doc_id is not null").join(F.broadcast(drawn), "doc_id", "left").where(F.coalesce("drawn", F.lit(False)) | near(sum(counts.values()))).select("doc_id", "text")
+    rows = rows.mapInArrow(run, "doc_id long, pattern long, x binary").join(said, "doc_id", "left")
+    return [(float(clean[9 * r["pattern"] + (r["by_label"] or 0)]), np.frombuffer(r["x"], "<i4").astype(np.int32)) for r in rows.orderBy(F.xxhash64("doc_id"), "pattern").toLocalIterator()]
 
-def fit(rows: list[tuple[float, float, np.ndarray]], epochs: int = 12, rate: float = 0.05, decay: float = 1e-3, least: int = 20, seed: int = 7) -> np.ndarray:
+
+def fit(rows: list[tuple[float, np.ndarray]], epochs: int = 12, rate: float = 0.05, decay: float = 1e-3, least: int = 20, seed: int = 7) -> np.ndarray:
     """Weights of a logistic scorer by mini-batches with per-weight step sizes. Bad documents weigh as much
     as good ones; buckets of fewer than `least` documents get no weight."""
     w, g2, rng = np.zeros(BUCKETS, np.float64), np.full(BUCKETS, 1e-8), np.random.default_rng(seed)
     if not rows:
         return w
-    often = np.bincount(np.concatenate([r[2] for r in rows]), minlength=BUCKETS) >= min(least, len(rows) // 10)
-    kept = [np.append(r[2][often[r[2]]], np.int32(0)) for r in rows]
-    p, weight = np.array([0.99 if r[0] >= 0.5 else 0.01 for r in rows]), np.array([r[1] for r in rows])
+    often = np.bincount(np.concatenate([r[1] for r in rows]), minlength=BUCKETS) >= min(least, len(rows) // 10)
+    kept = [np.append(r[1][often[r[1]]], np.int32(0)) for r in rows]
+    p = np.array([r[0] for r in rows])
     lengths, flat = np.array([len(x) for x in kept]), np.concatenate(kept)
     starts = np.cumsum(lengths) - lengths
-    share = min(max(float(((1 - p) * weight).sum() / weight.sum()), 0.01), 0.99)
+    share = min(max(float((1 - p).mean()), 0.01), 0.99)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 256):
@@ -186,7 +200,7 @@ def fit(rows: list[tuple[float, float, np.ndarray]], epochs: int = 12, rate: flo
             of = np.repeat(np.arange(len(own)), lengths[own])
             z = np.bincount(of, w[at], len(own))
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - p[own]
-            error *= weight[own] * (p[own] * 0.5 / (1 - share) + (1 - p[own]) * 0.5 / share) / len(own)
+            error *= (p[own] * 0.5 / (1 - share) + (1 - p[own]) * 0.5 / share) / len(own)
             used, back = np.unique(at, return_inverse=True)
             grad = np.bincount(back, error[of]) + decay * w[used]
             g2[used] += grad * grad
@@ -200,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = vote_counts(rows, labels)
     clean = WeakLabels(counts).clean()
-    weights = fit(training_rows(rows, labels, clean, sum(counts.values()), sample))
+    weights = fit(training_rows(rows, labels, clean, counts, sample))
     told = rows.sparkSession.sparkContext.broadcast((clean[::9].copy(), weights.astype(np.float32)))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
