@@ -5,8 +5,8 @@ discounts estimated from the counts of counts:
 
     p(w | c) = max(count(c w) - D, 0) / count(c) + rest(c) * p(w),   p(w) = (count(w) + 0.1) / (N + 0.1 (V + 1))
 
-where pairs seen once stay with rest(c), so the trie keeps repeated pairs only; over the V words and one
-unknown word the probabilities sum to one (up to quantisation).
+where D depends on whether the pair was seen once, twice or more often, and rest(c) is what the discounts of all
+pairs of c leave over; over the V words and one unknown word the probabilities sum to one (up to quantisation).
 
 Levels, all memory-mapped files in the shared folder, cut into parts of bounded size:
   words     sorted 64-bit word hashes; a word's id is its place. Counts, and p(w) as a 16-bit code.
@@ -189,7 +189,7 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
-    """One row per hash bucket: keys (context << 32 | word) seen twice or more with counts, squeezed, and
+    """One row per hash bucket: keys (context << 32 | word) with counts, squeezed, and
     how many pairs were seen once to four times."""
     buckets, told = max(4, -(-meta["tokens"] // BUCKET_PAIRS)), json.dumps(meta)
 
@@ -225,9 +225,8 @@ def pair_counts(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
         keys, counts = keys[order], counts[order]
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts, keys = np.add.reduceat(counts, heads), keys[heads]
-        often = counts >= 2
         n = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.table({"keys": pa.array([squeeze(np.diff(keys[often], prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([squeeze(counts[often])], pa.binary()), "n": pa.array([n], pa.list_(pa.int64()))})
+        return pa.table({"keys": pa.array([squeeze(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary()), "n": pa.array([n], pa.list_(pa.int64()))})
 
     told_pairs = docs.mapInArrow(run, "bucket int, keys binary, counts binary")
     return materialize(told_pairs.groupBy("bucket").applyInArrow(add, "keys binary, counts binary, n array<long>"), "pairs")
@@ -296,7 +295,7 @@ def write_pairs(spark: SparkSession, pairs: DataFrame, docs: DataFrame, folder:
             yield pa.record_batch({"c": c, "w": b.column("w"), "kept": kept(n), "times": times})
 
     meta["texts"] = docs.mapInArrow(lambda bs: (pa.record_batch({"n": [sum(not held_out(d) for d in b.column("doc_id").to_pylist())]}) for b in bs), "n long").agg(F.sum("n")).first()[0] or 0
-    every = materialize(pairs.select("keys", "counts").mapInArrow(spread, "c long, w long, n long").mapInArrow(with_times, "c long, w long, kept double, times long"), "often")
+    every = materialize(pairs.select("keys", "counts").mapInArrow(spread, "c long, w long, n long").mapInArrow(with_times, "c long, w long, kept double, times long"), "counted")
     total = every.count()
     by_context = every.groupBy("c").agg(F.sum("kept").alias("kept"), F.max("times").alias("times"))
     size = max(1, -(-total // PART_PAIRS))
@@ -327,7 +326,7 @@ class Model:
             out[own[at >= 0]] = value(codes[at[at >= 0]])
         return out
 
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
+    def discounted(self, keys: np.ndarray) -> np.ndarray:
         """The discounted probability of each pair, zero if it isn't in the trie; keys ascend."""
         out = np.zeros(len(keys))
         for (_, owners, pointers, level, codes), own in self._split(self.pairs, keys):
@@ -355,7 +354,7 @@ class Model:
         c, w = pairs_of(np.where(ids < 0, v + 1, ids)[flat], lengths, v)
         keys, back = np.unique((c.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
         contexts, of = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
-        p = self.repeated(keys)[back] + self.rest(contexts)[of][back] * value(codes)[flat]
+        p = self.discounted(keys)[back] + self.rest(contexts)[of][back] * value(codes)[flat]
         return {"n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64)[flat], heads), "base_score": np.add.reduceat(base, heads), "score": np.add.reduceat(np.log10(p), heads)}
 
 
