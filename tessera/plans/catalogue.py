@@ -214,6 +214,18 @@ def feat_jaro_winkler(spark, sf_dir):
     return rows.select("source1_entity_id", "candidate_id", r6("jaro_winkler").alias("jaro_winkler"))
 
 
+@query()
+def feat_levenshtein_all(spark, sf_dir):
+    """Every pair; feat_levenshtein has those on which DuckDB, which counts bytes, agrees."""
+    return pairs(spark, sf_dir).select("source1_entity_id", "candidate_id", r6("levenshtein").alias("levenshtein"))
+
+
+@query()
+def feat_jaro_winkler_all(spark, sf_dir):
+    """Every pair; feat_jaro_winkler has those on which DuckDB agrees."""
+    return ft.python_features(pairs(spark, sf_dir)).select("source1_entity_id", "candidate_id", r6("jaro_winkler").alias("jaro_winkler"))
+
+
 @query()
 def feat_token_ratios(spark, sf_dir):
     return ft.python_features(pairs(spark, sf_dir)).select("source1_entity_id", "candidate_id", "token_set_ratio", "token_sort_ratio")
@@ -360,7 +372,7 @@ def gbt_scores(spark, sf_dir):
     rows = fx.normalized(spark, sf_dir)
     cands = b.generate_candidates(rows)
     feats = ft.compute_features(cands, rows).join(e.label_candidates(cands, fx.er_truth(spark, sf_dir)).select("source1_entity_id", "candidate_id", "label"), ["source1_entity_id", "candidate_id"]).persist()
-    _, out, _ = m.train(feats, folds=2, trees=5, depth=4)
+    _, out, _ = m.train(feats)
     return out
 
 
@@ -368,7 +380,7 @@ def gbt_scores(spark, sf_dir):
 def pipeline_end_to_end(spark, sf_dir):
     from tessera.plans.pipeline import link
 
-    return link(fx.er(spark, sf_dir).drop("text"), fx.er_truth(spark, sf_dir), folds=2, trees=5, depth=4)
+    return link(fx.er(spark, sf_dir).drop("text"), fx.er_truth(spark, sf_dir))
 
 
 # --- the operators on the star schema ---------------------------------------------------------------------
