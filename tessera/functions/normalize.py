@@ -32,41 +32,47 @@ STREET_WORDS = {
 WORD = r"\p{L}\p{N}_"
 BLANK = r"(?U)[\s\x1C-\x1F]+"
 FORMS = "|".join(sorted(LEGAL_FORMS, key=lambda k: (-len(k), k)))
-_FORM = rf"^(.*?)(?:^|(?<=\s))({FORMS})(?:\s|$)(.*)$"
+_FORM = rf"(?:^|(?<=\s))({FORMS})(?=\s|$)"
+#: The ranges that hold characters with a decomposition or of category Mn (Hangul syllables are apart).
+DECOMPOSING = ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0100, 0xE01F0))
+HANGUL = (0xAC00, 0xD7A4)
+
+
+def _decomposed(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn")
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[str, str, str]:
-    """Characters that lose accents one for one and their bases, with those that vanish behind them; and a
-    class of characters that become several."""
-    one, base, gone, many = [], [], [], []
-    for i in range(0x80, 0x110000):
-        if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4:
-            continue
+    """Characters that lose accents one for one and their bases, with those that vanish behind them; and the
+    characters that become several."""
+    one, base, gone, many = [], [], [], [chr(i) for i in range(*HANGUL)]
+    for i in (i for ends in DECOMPOSING for i in range(*ends)):
         c = chr(i)
-        d = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
+        d = _decomposed(c)
         if d != c:
             (one if len(d) == 1 else many if d else gone).append(c)
             if len(d) == 1:
                 base.append(d)
-    return "".join(one + gone), "".join(base), "[가-힣" + "".join(many) + "]"
+    return "".join(one + gone), "".join(base), "".join(many)
 
 
 @F.pandas_udf(StringType())
 def decompose(s: pd.Series) -> pd.Series:
     """N1, exact for every character."""
-    return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+    return s.map(_decomposed, na_action="ignore")
 
 
 def needs_python(c: Column) -> Column:
-    """Whether a text holds characters that decompose into several."""
-    return F.coalesce(c.rlike(_tables()[2]), F.lit(False))
+    """Whether a text holds characters that decompose into several: whether it changes if they are taken out, one look
+    into a table a character."""
+    return non_ascii(c) & (F.translate(c, _tables()[2], "") != c)
 
 
 def strip_accents(c: Column) -> Column:
     """N1 without Python, for texts that don't need it."""
     source, target, _ = _tables()
-    return F.translate(c, source, target)
+    return F.when(non_ascii(c), F.translate(c, source, target)).otherwise(c)
 
 
 def squeezed(c: Column) -> Column:
@@ -74,14 +80,26 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK, " "))
 
 
-def name_parts(c: Column) -> Column:
-    """N2-N9 on an accent-free name: struct of core, suffix, full."""
-    clean = squeezed(F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" and ")), rf"(?U)[^{WORD}\s\x1C-\x1F]", " "))
-    form = F.regexp_extract(clean, _FORM, 2)
-    short = F.coalesce(F.create_map(*[F.lit(x) for pair in LEGAL_FORMS.items() for x in pair])[form], F.lit(""))
-    rest = F.trim(F.concat(F.trim(F.regexp_extract(clean, _FORM, 1)), F.lit(" "), F.trim(F.regexp_extract(clean, _FORM, 3))))
-    core = F.when(form == "", clean).otherwise(rest)
-    return F.struct(core.alias("core"), short.alias("suffix"), F.trim(F.concat(core, F.lit(" "), short)).alias("full"))
+def clean_name(c: Column) -> Column:
+    """N2-N5 on an accent-free name."""
+    return squeezed(F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" and ")), rf"(?U)[^{WORD}\s\x1C-\x1F]", " "))
+
+
+def legal_form(c: Column) -> Column:
+    """The first legal form of a clean name, '' if there is none."""
+    return F.regexp_extract(c, _FORM, 1)
+
+
+def short_form(form: Column) -> Column:
+    """N7."""
+    return F.when(form == "", "").otherwise(F.create_map(*[F.lit(x) for pair in LEGAL_FORMS.items() for x in pair])[form])
+
+
+def core_name(c: Column, form: Column) -> Column:
+    """A clean name without its legal form, which stands between blanks."""
+    at = F.position(F.concat(F.lit(" "), form, F.lit(" ")), F.concat(F.lit(" "), c, F.lit(" ")))
+    left, right = F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.char_length(form), F.char_length(c))
+    return F.when(form == "", c).otherwise(F.trim(F.concat(F.trim(left), F.lit(" "), F.trim(right))))
 
 
 def blanked(c: Column) -> Column:
@@ -111,10 +129,12 @@ def non_ascii(c: Column) -> Column:
 def normalize_records(df: DataFrame) -> DataFrame:
     """Adds norm_core, norm_suffix, norm_name, norm_addr, numeric_tokens and is_non_latin.
 
-    Only rows with characters that decompose into several go through Python; the others stay in the JVM."""
-    name, addr = F.coalesce(F.col("business_name"), F.lit("")), blanked(F.col("business_address"))
-    hard = needs_python(name) | needs_python(addr)
-    plain = df.where(~hard).withColumns({"__n": strip_accents(name), "__a": strip_accents(addr)})
-    exact = df.where(hard).withColumns({"__n": decompose(name), "__a": decompose(addr)})
-    both = plain.unionByName(exact).withColumns({"__p": name_parts(F.col("__n")), "norm_addr": address(F.col("__a"))})
-    return both.withColumns({"norm_core": F.col("__p.core"), "norm_suffix": F.col("__p.suffix"), "norm_name": F.col("__p.full"), "numeric_tokens": numeric_tokens(F.col("norm_addr")), "is_non_latin": non_ascii(F.col("business_name"))}).drop("__n", "__a", "__p")
+    The rows are read once. Only texts with characters that decompose into several go to Python (the others go there
+    as nulls). Every step that later ones use more than once is a column of its own, which the optimizer keeps apart."""
+    rows = df.withColumns({"__name": F.coalesce(F.col("business_name"), F.lit("")), "__addr": blanked(F.col("business_address"))})
+    hard = rows.withColumns({f"{c}_hard": decompose(F.when(needs_python(F.col(c)), F.col(c))) for c in ("__name", "__addr")})
+    plain = hard.withColumns({"__clean": clean_name(F.coalesce("__name_hard", strip_accents(F.col("__name")))), "norm_addr": address(F.coalesce("__addr_hard", strip_accents(F.col("__addr")))), "is_non_latin": non_ascii(F.col("business_name"))})
+    formed = plain.withColumns({"__form": legal_form(F.col("__clean")), "numeric_tokens": numeric_tokens(F.col("norm_addr"))})
+    parts = formed.withColumns({"norm_core": core_name(F.col("__clean"), F.col("__form")), "norm_suffix": short_form(F.col("__form"))})
+    named = parts.withColumn("norm_name", F.trim(F.concat("norm_core", F.lit(" "), "norm_suffix")))
+    return named.select(*df.columns, "norm_core", "norm_suffix", "norm_name", "norm_addr", "numeric_tokens", "is_non_latin")

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import staged
+
+#: The limits of the passes.
 TOP_NAME, TOP_ADDR, TOP_NUMERIC, TOP_ALL = 20, 20, 30, 100
 VOCABULARY, MIN_DF, MIN_SCORE, MIN_NUMBER, MAX_NUMBER_DF = 30_000, 3, 0.05, 3, 500
 
@@ -27,11 +30,11 @@ def corpus(records: DataFrame) -> DataFrame:
     return first.unionByName(records.where("src <> 'S1'").withColumn("source", F.col("src"))).where("country is not null")
 
 
-def vocabulary(records: DataFrame, field: str) -> DataFrame:
-    """Country, source, term, df, ctf, idf."""
+def vocabulary(records: DataFrame, field: str, counts: DataFrame | None = None) -> DataFrame:
+    """Country, source, term, df, ctf, idf. counts: term_counts, if they have been computed."""
     rows = corpus(records)
     n = rows.groupBy("country", "source").agg(F.count("*").alias("n"))
-    counted = term_counts(records, field).groupBy("country", "source", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).where(F.col("df") >= MIN_DF)
+    counted = (term_counts(records, field) if counts is None else counts).groupBy("country", "source", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).where(F.col("df") >= MIN_DF)
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("country", "source").orderBy(F.desc("ctf"), "term"))).where(F.col("rank") <= VOCABULARY)
     return ranked.join(n, ["country", "source"]).select("country", "source", "term", "df", "ctf", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
@@ -44,8 +47,8 @@ def term_counts(records: DataFrame, field: str) -> DataFrame:
 
 def unit_vectors(records: DataFrame, field: str) -> DataFrame:
     """V3-V5: country, source, src, entity_id, term, u; every entity's u has length one."""
-    key = ["country", "source", "src", "entity_id"]
-    raw = term_counts(records, field).join(vocabulary(records, field), ["country", "source", "term"]).select(*key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
+    key, counts = ["country", "source", "src", "entity_id"], staged(term_counts(records, field), "terms")
+    raw = counts.join(vocabulary(records, field, counts), ["country", "source", "term"]).select(*key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     return raw.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))).drop("w")
 
 
@@ -54,8 +57,8 @@ def tfidf_topk(records: DataFrame, field: str, k: int) -> DataFrame:
 
     A relational sparse product: an equality join on (country, source, term) whose sums are combined before
     they are shuffled; frequent terms are split by the adaptive skew join, and the rank limit runs in each
-    partition before the final one."""
-    u = unit_vectors(records, field)
+    partition before the final one. Term counts and vectors are written once and read by each of their uses."""
+    u = staged(unit_vectors(records, field), "vectors")
     left = u.where("src = 'S1'").select("country", "source", "term", F.col("entity_id").alias("source1_entity_id"), F.col("u").alias("u1"))
     right = u.where("src <> 'S1'").select("country", "source", "term", F.col("entity_id").alias("candidate_id"), F.col("u").alias("u2"))
     scored = left.join(right, ["country", "source", "term"]).groupBy("source", "source1_entity_id", "candidate_id").agg(F.round(F.sum(F.col("u1") * F.col("u2")), 9).alias("score")).where(F.col("score") >= MIN_SCORE)

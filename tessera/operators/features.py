@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
+from tessera.sources.tables import staged
 
+#: The features' names and order.
 FEATURES = (
     "jaro_winkler", "levenshtein", "token_set_ratio", "token_sort_ratio", "char3_jaccard", "char4_jaccard", "token_jaccard",
     "first_token_eq", "suffix_conflict", "suffix_match", "is_non_latin", "numeric_jaccard", "numeric_overlap", "addr_token_jaccard",
@@ -14,18 +16,26 @@ FEATURES = (
     "is_s2", "combined_score", "cand_rank", "score_gap_to_rank1", "n_candidates",
 )
 SIDE = ("norm_name", "norm_core", "norm_suffix", "norm_addr", "numeric_tokens", "is_non_latin")
+#: Sets that the pair features compare; a record's are computed once, not in each of its pairs.
+SETS = {
+    "core3": lambda: sim.grams(F.col("norm_core"), 3), "core4": lambda: sim.grams(F.col("norm_core"), 4), "core_tokens": lambda: sim.tokens(F.col("norm_core")),
+    "addr3": lambda: sim.grams(F.col("norm_addr"), 3), "addr_tokens": lambda: sim.tokens(F.col("norm_addr")),
+}
 
 
 def side(records: DataFrame, key: str, prefix: str) -> DataFrame:
     fill = {"numeric_tokens": F.array().cast("array<string>"), "is_non_latin": F.lit(False)}
-    return records.dropDuplicates(["entity_id"]).select(F.col("entity_id").alias(key), *[F.coalesce(F.col(c), fill.get(c, F.lit(""))).alias(f"{prefix}_{c}") for c in SIDE])
+    whole = records.dropDuplicates(["entity_id"]).select("entity_id", *[F.coalesce(F.col(c), fill.get(c, F.lit(""))).alias(c) for c in SIDE])
+    whole = staged(whole.withColumns({c: f() for c, f in SETS.items()}), "sides")
+    return whole.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in (*SIDE, *SETS)])
 
 
 def joined(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates with the columns of both sides; a missing side counts as empty."""
     out = candidates.join(side(records.where("src = 'S1'"), "source1_entity_id", "s1"), "source1_entity_id", "left").join(side(records.where("src <> 'S1'"), "candidate_id", "cnd"), "candidate_id", "left")
-    empty = {"numeric_tokens": F.array().cast("array<string>"), "is_non_latin": F.lit(False)}
-    return out.withColumns({f"{p}_{c}": F.coalesce(F.col(f"{p}_{c}"), empty.get(c, F.lit(""))) for p in ("s1", "cnd") for c in SIDE})
+    none = F.array().cast("array<string>")
+    empty = {"numeric_tokens": none, "is_non_latin": F.lit(False)} | dict.fromkeys(SETS, none)
+    return out.withColumns({f"{p}_{c}": F.coalesce(F.col(f"{p}_{c}"), empty.get(c, F.lit(""))) for p in ("s1", "cnd") for c in (*SIDE, *SETS)})
 
 
 def native_features(pairs: DataFrame) -> DataFrame:
@@ -34,17 +44,17 @@ def native_features(pairs: DataFrame) -> DataFrame:
     both = (a("norm_suffix") != "") & (b("norm_suffix") != "")
     return pairs.withColumns({
         "levenshtein": sim.levenshtein_similarity(a("norm_name"), b("norm_name")),
-        "char3_jaccard": sim.jaccard(sim.grams(a("norm_core"), 3), sim.grams(b("norm_core"), 3)),
-        "char4_jaccard": sim.jaccard(sim.grams(a("norm_core"), 4), sim.grams(b("norm_core"), 4)),
-        "token_jaccard": sim.jaccard(sim.tokens(a("norm_core")), sim.tokens(b("norm_core"))),
+        "char3_jaccard": sim.jaccard(a("core3"), b("core3")),
+        "char4_jaccard": sim.jaccard(a("core4"), b("core4")),
+        "token_jaccard": sim.jaccard(a("core_tokens"), b("core_tokens")),
         "first_token_eq": sim.first_token_equal(a("norm_core"), b("norm_core")),
         "suffix_conflict": (both & (a("norm_suffix") != b("norm_suffix"))).cast("int"),
         "suffix_match": (both & (a("norm_suffix") == b("norm_suffix"))).cast("int"),
         "is_non_latin": b("is_non_latin").cast("int"),
         "numeric_jaccard": sim.jaccard(a("numeric_tokens"), b("numeric_tokens")),
         "numeric_overlap": F.arrays_overlap(a("numeric_tokens"), b("numeric_tokens")).cast("int"),
-        "addr_token_jaccard": sim.jaccard(sim.tokens(a("norm_addr")), sim.tokens(b("norm_addr"))),
-        "addr_char3_jaccard": sim.jaccard(sim.grams(a("norm_addr"), 3), sim.grams(b("norm_addr"), 3)),
+        "addr_token_jaccard": sim.jaccard(a("addr_tokens"), b("addr_tokens")),
+        "addr_char3_jaccard": sim.jaccard(a("addr3"), b("addr3")),
         "zip_match": F.arrays_overlap(sim.zips(a("numeric_tokens")), sim.zips(b("numeric_tokens"))).cast("int"),
         "s1_addr_empty": (a("norm_addr") == "").cast("int"), "cnd_addr_empty": (b("norm_addr") == "").cast("int"),
         "blk_name_score": F.col("name_score"), "blk_addr_score": F.col("addr_score"), "blk_num_match": F.col("numeric_match"),
@@ -64,7 +74,8 @@ def context_features(pairs: DataFrame) -> DataFrame:
 
 
 def python_features(pairs: DataFrame) -> DataFrame:
-    """Only distinct pairs of different, non-empty names go to Python."""
+    """Only distinct pairs of different, non-empty names go to Python. pairs is read twice: it should be
+    a written table or cheap."""
     a, b = F.col("s1_norm_name"), F.col("cnd_norm_name")
     names = pairs.where((a != b) & (a != "") & (b != "")).select("s1_norm_name", "cnd_norm_name").distinct()
     told = names.select("*", sim.jaro_winkler(a, b).alias("__jw"), sim.token_set_ratio(a, b).alias("__set"), sim.token_sort_ratio(a, b).alias("__sort"))
@@ -74,5 +85,8 @@ def python_features(pairs: DataFrame) -> DataFrame:
 
 def compute_features(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """P20: the two keys, source and the 26 features."""
-    pairs = python_features(context_features(native_features(joined(candidates, records))))
+    native = context_features(native_features(joined(candidates, records)))
+    keep = [c for c in FEATURES if c not in ("jaro_winkler", "token_set_ratio", "token_sort_ratio")]
+    pairs = staged(native.select("source1_entity_id", "candidate_id", "source", "s1_norm_name", "cnd_norm_name", *keep), "pairs")
+    pairs = python_features(pairs)
     return pairs.select("source1_entity_id", "candidate_id", "source", *FEATURES)

@@ -54,12 +54,12 @@ def scan_project_filter(spark, sf_dir):
 
 @query(f"WITH {fx.NORM} SELECT entity_id, norm_core, norm_suffix, norm_name FROM norm")
 def norm_name(spark, sf_dir):
-    return fx.normalized(spark, sf_dir).select("entity_id", "norm_core", "norm_suffix", "norm_name")
+    return fx.freshly_normalized(spark, sf_dir).select("entity_id", "norm_core", "norm_suffix", "norm_name")
 
 
 @query(f"WITH {fx.NORM} SELECT entity_id, norm_addr FROM norm")
 def norm_address(spark, sf_dir):
-    return fx.normalized(spark, sf_dir).select("entity_id", "norm_addr")
+    return fx.freshly_normalized(spark, sf_dir).select("entity_id", "norm_addr")
 
 
 @query(f"WITH {fx.NORM} SELECT entity_id, unnest(numeric_tokens) AS token FROM norm")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.normalize import FORMS, LEGAL_FORMS, STREET_WORDS, normalize_records
+from tessera.session import shared_folder
+from tessera.sources.tables import cached, version
 
 _TAIL = "CASE doc_id % 8 WHEN 0 THEN ' Ltd' WHEN 1 THEN ' Private Limited' WHEN 2 THEN ', Inc.' WHEN 3 THEN ' & Company' WHEN 4 THEN ' SARL' ELSE '' END"
 ER_SPARK = rf"""
@@ -28,6 +30,12 @@ def er(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: normalized once a version of the table, then read."""
+    config = {"input": version(spark, f"{sf_dir}/documents.parquet"), "step": "normalize_records"}
+    return cached(spark, shared_folder(spark), "normalized", config, lambda: freshly_normalized(spark, sf_dir))
+
+
+def freshly_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_records(er(spark, sf_dir).drop("text"))
 
 

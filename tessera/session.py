@@ -1,4 +1,7 @@
-"""Session settings that the operators are written for."""
+"""Session settings that the operators are written for, and the folder that all machines share."""
+
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +17,15 @@ def session(app: str = "tessera", **settings: str) -> SparkSession:
     """The running session or a new one, with SETTINGS and then `settings` (dots as double underscores)."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS)
     return builder.config(map={k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset, a run on one machine gets a temporary folder, which
+    the session remembers; on a cluster that is an error, as its machines would each see a folder of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[[^,]|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
