@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 
 #: Layout: its field paths, and its turns as (role or path of the role, path of the text). A list path
-#: ("messages[].role") gives a turn per element; roles are renamed by ROLES.
+#: ("messages[].role") gives a turn per element; the roles of the layout conversations are renamed by ROLES.
 LAYOUTS = {
     "messages": (("messages[].role", "messages[].content"),),
     "conversations": (("conversations[].from", "conversations[].value"),),
@@ -73,7 +73,7 @@ def _turns(df: DataFrame, layout: str) -> Column | None:
     def element(role: str, text: str):
         def turn(x: Column) -> Column:
             said = F.coalesce(x[role], F.lit(""))
-            return F.struct(F.coalesce(renamed[said], said).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+            return F.struct((F.coalesce(renamed[said], said) if layout == "conversations" else said).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
 
         return turn
 
