@@ -3,7 +3,8 @@
 Texts become lower-cased alphanumeric tokens. Each fixed mask picks some positions of a span and ignores the
 others, so a hit survives substituted tokens. Item and document hashes under the same mask are matched by
 equality; each hit gives a diagonal (document place - item place), on which all tokens of the item are
-compared. A document is contaminated by an item if some stretch of the diagonal, as long as `overlap` tokens
+compared once. Runs of one hash (a token said again and again) meet as runs, so they cost their lengths' sum, not their
+product. A document is contaminated by an item if some stretch of the diagonal, as long as `overlap` tokens
 (or the whole item, if shorter), agrees in at least `similarity` of its tokens. The masks were chosen so that
 every stretch of 13 tokens with up to two substitutions has a hit; items shorter than a mask are hit by their
 whole token sequence.
@@ -29,7 +30,8 @@ from tessera.llm.common import bounded, chunks, materialize, utf8
 
 MASKS = ((1, 1, 0, 1, 1), (1, 1, 1, 0, 1), (1, 0, 1, 1, 1), (1, 1, 1, 1))
 OVERLAP, SIMILARITY = 13, 0.8
-BLOCK_TOKENS = 2_000_000
+#: Tokens of a block of the benchmark; pairs of seed runs that are met at once.
+BLOCK_TOKENS, HITS = 2_000_000, 1 << 19
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -68,23 +70,42 @@ class Block:
             h = np.array([s[0] for s in seeds], np.uint64)
             bits = np.zeros(1 << 22, bool)
             bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((mask, bits, h, np.array([s[1:] for s in seeds], np.int64).reshape(-1, 2)))
-
-    def hits(self, ids: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal) of all seed hits in tokens laid end to end; token 0 is in no item."""
-        found: set[tuple[int, int]] = set()
-        for mask, bits, seeds, where in self.tables:
+            where = np.array([s[1:] for s in seeds], np.int64).reshape(-1, 2)
+            # seeds with one hash at neighbouring places of an item are one run: item, first place, places
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (where[1:, 0] != where[:-1, 0]) | (where[1:, 1] != where[:-1, 1] + 1)
+            heads = np.flatnonzero(new)
+            runs = np.column_stack((where[heads], np.diff(np.append(heads, len(h)))))
+            self.tables.append((mask, bits, h[heads], runs))
+
+    def hits(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """The distinct (item, diagonal) of all seed hits in tokens laid end to end; token 0 is in no item."""
+        found: list[np.ndarray] = []
+        for mask, bits, seeds, runs in self.tables:
             if not len(seeds) or len(ids) < len(mask):
                 continue
             h = spaced(ids, mask)
             at = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-            first, last = np.searchsorted(seeds, h[at]), np.searchsorted(seeds, h[at], side="right")
-            at, first, last = at[last > first], first[last > first], last[last > first]
             # a span must lie in one text
-            inside = np.searchsorted(ends, at, side="right") == np.searchsorted(ends, at + len(mask) - 1, side="right")
-            for p, a, b in zip(at[inside].tolist(), first[inside].tolist(), last[inside].tolist()):
-                found.update((int(k), p - int(q)) for k, q in where[a:b])
-        return found
+            at = at[np.searchsorted(ends, at, side="right") == np.searchsorted(ends, at + len(mask) - 1, side="right")]
+            new = np.ones(len(at), bool)
+            new[1:] = (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1)
+            heads = np.flatnonzero(new)
+            times, at = np.diff(np.append(heads, len(at))), at[heads]
+            first, last = np.searchsorted(seeds, h[at]), np.searchsorted(seeds, h[at], side="right")
+            upto = np.cumsum(last - first)
+            a = 0
+            while a < len(at):  # about HITS pairs of runs at once
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS)))
+                n = (last - first)[a:b]
+                which = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                item, place, long = runs[which].T
+                low, width = np.repeat(at[a:b], n) - place - long + 1, np.repeat(times[a:b], n) + long - 1
+                diagonal = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+                found.append(np.unique(np.repeat(item, width) << 40 | diagonal + (1 << 39)))
+                a = b
+        keys = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return list(zip((keys >> 40).tolist(), ((keys & (1 << 40) - 1) - (1 << 39)).tolist()))
 
     def verify(self, ids: np.ndarray, begin: int, end: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """The longest agreeing stretch of the item on the diagonal: start, length (tokens) and matches."""
