@@ -2,9 +2,9 @@
 
 DataFrame functions only. The filter is a table of 256-bit blocks, four longs each; a URL's hash names one
 block and eight bits in it, two a word. A page is a possible hit if its block has all eight. Only possible
-hits go on to an exact equality join with the list, which removes false positives; all other pages are never
-shuffled. The block table is joined by broadcast while its computed size is below `BROADCAST_BYTES`, and by
-a shuffle on the block number above. A URL that many pages share is a skewed join key, which the adaptive
+hits go on to an exact equality join with the list, which removes false positives. The block table is joined by
+broadcast while its computed size is below `BROADCAST_BYTES` (two million listed URLs), and other pages than possible
+hits are then never shuffled; a longer list costs one shuffle of all pages on the block number. A URL that many pages share is a skewed join key, which the adaptive
 skew join splits.
 
 Null urls, and urls without ://, have an empty host and path; they fit no rule and no listed URL is empty.
