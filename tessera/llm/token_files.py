@@ -3,7 +3,7 @@
 Layout of a written corpus (a folder that all nodes mount):
   part-NNNNN.ids   token ids, little-endian unsigned, 16 bits wide if the vocabulary allows, else 32
   part-NNNNN.idx   int64 triples' columns: doc ids [n], then local offsets [n + 1]
-  manifest.json    id width and, per part, documents, tokens and base
+  manifest.json    id width and, per part, documents, those without an id, tokens and base
 
 Parts hold ascending ranges of doc_id, so file order is id order. A part's base is the prefix sum of the
 tokens of the parts before it, taken from one row per part; a document's 64-bit position is base + local
@@ -11,7 +11,7 @@ offset. Writers use a name of their own and rename at the end, so a task that is
 the same whole file.
 
 Null texts are empty documents (only the end id). Documents with equal doc_id are kept, ordered by text.
-A null doc_id is written as -1. Empty tables give a manifest without parts.
+Documents without an id come first; the manifest has their number per part. Empty tables give a manifest without parts.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from tessera.llm.common import bounded, chunks, fresh_path, local_file, utf8
 from tessera.llm.encoding import TEXT_BYTES, encoder
 
 
+#: Bytes of the table for a part, and parts at most.
+PART_BYTES, MOST_PARTS = 256 << 20, 1 << 20
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_bytes: int = 2, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encodes docs and writes the files under `path`; returns `path`.
 
@@ -43,7 +47,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
         from pyspark import TaskContext
 
         part, tokens = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        own, ids, counts = f"{folder}/.{part:05d}-{uuid.uuid4().hex}", [], []
+        own, ids, counts, nulls = f"{folder}/.{part:05d}-{uuid.uuid4().hex}", [], [], 0
         os.makedirs(folder, exist_ok=True)
         with open(f"{own}.ids", "wb") as out:
             for batch in chunks(batches, "text", TEXT_BYTES):
@@ -51,7 +55,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
                 if len(flat) and int(flat.max()) >= 1 << 8 * id_bytes:
                     raise ValueError(f"token id {flat.max()} needs more than {id_bytes} bytes")
                 out.write(flat.astype(kind).tobytes())
-                ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls += batch.column("doc_id").null_count
+                ids.append(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 counts.append(lengths)
         ids, counts = np.concatenate(ids or [np.empty(0, "<i8")]), np.concatenate(counts or [np.empty(0, np.int64)])
         if not len(ids):
@@ -61,14 +66,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
             out.write(ids.tobytes() + np.concatenate(([0], np.cumsum(counts))).astype("<i8").tobytes())
         for kind_of in ("ids", "idx"):
             os.replace(f"{own}.{kind_of}", f"{folder}/part-{part:05d}.{kind_of}")
-        yield pa.record_batch({"part": [part], "docs": [len(ids)], "tokens": [int(counts.sum())]})
+        yield pa.record_batch({"part": [part], "docs": [len(ids)], "nulls": [nulls], "tokens": [int(counts.sum())]})
 
-    rows = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, docs long, tokens long").collect())
+    rows = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, docs long, nulls long, tokens long").collect())
     base, manifest = 0, {"id_bytes": id_bytes, "parts": []}
-    for part, n, tokens in parts:
-        manifest["parts"].append({"part": part, "docs": n, "tokens": tokens, "base": base})
+    for part, n, nulls, tokens in parts:
+        manifest["parts"].append({"part": part, "docs": n, "nulls": nulls, "tokens": tokens, "base": base})
         base += tokens
     with open(f"{folder}/.manifest", "w") as out:
         json.dump(manifest, out)
@@ -76,6 +81,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
     return path
 
 
+def parts_for(docs: DataFrame) -> int:
+    """About one part for PART_BYTES of the table, and at least as many as the session shuffles to. Spark's estimate is
+    not trusted beyond MOST_PARTS: tables of unknown size have a huge one."""
+    parts = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts if parts <= MOST_PARTS else 1)
+
+
 def open_part(folder: str, part: dict, id_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Memory-mapped doc ids, local offsets and token ids of one part."""
     name = f"{folder}/part-{part['part']:05d}"
@@ -101,9 +113,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     at = np.array(offsets[a : b + 1])
                     held = np.array(ids[at[0] : at[-1]]).astype("<u4")
                     crc = [zlib.crc32(held[i - at[0] : j - at[0]]) for i, j in zip(at[:-1], at[1:])]
-                    yield pa.record_batch({"doc_id": np.array(docs[a:b]), "start": row["base"] + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
+                    known = pa.array(np.array(docs[a:b]), mask=np.arange(a, b) < row["nulls"])
+                    yield pa.record_batch({"doc_id": known, "start": row["base"] + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
 
-    parts = spark.createDataFrame([(p["part"], p["docs"], p["tokens"], p["base"]) for p in manifest["parts"]], "part long, docs long, tokens long, base long")
+    parts = spark.createDataFrame([(p["part"], p["docs"], p["nulls"], p["tokens"], p["base"]) for p in manifest["parts"]], "part long, docs long, nulls long, tokens long, base long")
     return parts.repartition(len(manifest["parts"])).mapInArrow(read, schema)
 
 
