@@ -11,6 +11,7 @@ from tessera.operators import evaluate as e
 from tessera.operators import features as ft
 from tessera.operators import model as m
 from tessera.plans import fixtures as fx
+from tessera.sources.tables import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -347,13 +348,17 @@ def threshold_grid(spark, sf_dir):
 # --- sampling, model --------------------------------------------------------------------------------------
 
 
-@query()
+def _drawn(*keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '42', {', '.join(keys)})), 1, 15))::BIGINT"
+
+
+@query(f"WITH {fx.ER} SELECT entity_id AS source1_entity_id FROM er WHERE src = 'S1' ORDER BY {_drawn('entity_id')}, entity_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     """A sampling operator: the limit is the feature."""
     return m.seeded_sample(first_ids(spark, sf_dir), "source1_entity_id", 100)
 
 
-@query()
+@query(f"WITH {fx.ER} SELECT ({_drawn('entity_id')} % 5)::INT AS fold, count(*) AS n FROM er WHERE src = 'S1' GROUP BY ALL")
 def group_folds(spark, sf_dir):
     return m.with_fold(first_ids(spark, sf_dir)).groupBy("fold").agg(F.count("*").alias("n"))
 
@@ -362,7 +367,9 @@ def labelled(spark, sf_dir):
     return e.label_candidates(scored(spark, sf_dir), fx.er_truth(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {fx.ALL_PASSES},{_PAIRS}, k AS (SELECT DISTINCT * FROM tp), lab AS (SELECT c.*, (k.candidate_id IS NOT NULL)::INT AS label FROM cand c LEFT JOIN k USING (source1_entity_id, candidate_id)),
+s AS (SELECT sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM lab)
+SELECT label, count(*) AS n FROM lab, s WHERE label = 1 OR {_drawn('source1_entity_id', 'candidate_id')} < floor(least(1, 10 * pos / neg) * 1152921504606846976)::BIGINT GROUP BY ALL""")
 def neg_downsample(spark, sf_dir):
     return m.downsampled(labelled(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -370,8 +377,8 @@ def neg_downsample(spark, sf_dir):
 @query()
 def gbt_scores(spark, sf_dir):
     rows = fx.normalized(spark, sf_dir)
-    cands = b.generate_candidates(rows)
-    feats = ft.compute_features(cands, rows).join(e.label_candidates(cands, fx.er_truth(spark, sf_dir)).select("source1_entity_id", "candidate_id", "label"), ["source1_entity_id", "candidate_id"]).persist()
+    cands = staged(b.generate_candidates(rows), "candidates")
+    feats = ft.compute_features(cands, rows).join(e.label_candidates(cands, fx.er_truth(spark, sf_dir)).select("source1_entity_id", "candidate_id", "label"), ["source1_entity_id", "candidate_id"])
     _, out, _ = m.train(feats)
     return out
 
