@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_folder
+
 #: Text bytes that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch that Spark hands to a Python worker.
@@ -18,13 +21,8 @@ ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests on one machine) a
-    temporary folder is made and remembered in the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder named in spark.checkpoint.dir; a temporary one only for a run on one machine."""
+    return shared_folder(spark)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -50,8 +48,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote for df, when nothing will read it again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+_left: list[str] = []
+
+
+def leave(df: DataFrame) -> DataFrame:
+    """Notes that df's written table is still read by a result that its caller is about to write."""
+    _left.append(df.written_to)
+    return df
+
+
+def sweep(docs: DataFrame) -> None:
+    """Deletes the noted tables, but for those that docs reads: its caller has written what was made of them."""
+    leaves, used, spark = docs._jdf.queryExecution().analyzed().collectLeaves(), "", docs.sparkSession
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            used += leaf.relation().location().rootPaths().mkString(" ")
+    for path in [p for p in _left if p.rsplit("/", 1)[-1] not in used]:
+        _left.remove(path)
+        delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now; else they stay until the driver happens
+    to collect its garbage. A plan lets go of its shuffles only in a second round."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
