@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
 Base rules reject texts under 50 words or with more than half of their words in repeated 3-word windows. For
-the rest, each metric gets a cutoff per stratum from labelled documents: cutoff t is allowed if the exact
-binomial test rejects "a good document exceeds t with probability above `risk`" at level delta divided by the
-number of (stratum, metric, cutoff) tests. So with confidence 1 - delta every cutoff that is used rejects at
-most `risk` of its stratum's good documents. Of the allowed cutoffs the largest one that still rejects nearly
-as many bad documents as the best is used; a stratum with too few labels gets none and rejects nothing.
+the rest, each metric gets a cutoff per stratum from labelled documents, and a document goes if any metric exceeds
+its cutoff. The bound holds for that whole rule: with confidence 1 - delta, the cutoffs of every stratum reject at most
+`risk` of its good documents. Labelled documents are split in two by a hash of their ids. On one half each metric's
+cutoff is proposed: of those that reject hardly any good document the largest one that still rejects nearly as many bad
+ones as the best. On the other half the proposal is tested, first loosened by LOOSEST steps of the grid, then step by
+step less: each step's rule is used only if the exact binomial test rejects "it rejects more than `risk` of the good
+documents" at level delta / strata (Bonferroni), and the first step that fails ends the stratum's sequence, so the
+sequence needs no further correction. A stratum with too few labels gets no cutoffs and rejects nothing.
 
 The text is read once; the metrics (a few numbers a document) are written to the shared folder and give the
 counts. Only counts per stratum reach the driver. Beyond MAX_STRATA strata with labelled documents, those with
@@ -13,7 +16,8 @@ the fewest good ones (and strata without labels) are one pooled stratum with cut
 
 Null texts have no words. Null strata are the stratum ''. Repeated rows are judged alike; a document with
 several labels counts as bad if one of them is. Labels of unknown documents count nowhere. Empty tables give
-no rows. Other columns of the input are kept by `filter_documents`.
+no rows. Rows with equal doc_id are one labelled document, with the largest of their metrics. Other columns of the
+input are kept by `filter_documents`.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, leave, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_STRATA = 1000
+#: Steps of the grid by which a proposal is loosened at first.
+LOOSEST = 3
 #: Windows of a text that occur again, up to which a plain look-up is used.
 FEW = 32
 
@@ -89,40 +95,69 @@ def allowed(k: int, n: int, risk: float, level: float) -> bool:
     return n > 0 and k <= risk * n and binomial_tail(k, n, risk) <= level
 
 
-def choose(counts: list[dict], risk: float, delta: float) -> list[dict]:
-    """counts: one row per stratum: stratum, good, bad, and g_<metric>_<j>, b_<metric>_<j>: how many of them
-    exceed cutoff j. Returns a cutoff per stratum and metric (None: none)."""
-    level, out = delta / max(1, len(counts) * len(METRICS) * len(GRID)), []
-    for row in counts:
-        cut = {"stratum": row["stratum"]}
-        for m in METRICS:
-            fit = [j for j in range(len(GRID)) if allowed(row[f"g_{m}_{j}"], row["good"], risk, level)]
-            best = max((row[f"b_{m}_{j}"] for j in fit), default=0)
-            cut[f"cut_{m}"] = max((GRID[j] for j in fit if row[f"b_{m}_{j}"] >= 0.98 * best), default=None) if best else None
-        out.append(cut)
+def propose(row: dict, risk: float) -> dict:
+    """row: good, and g_<metric>_<j>, b_<metric>_<j>: how many good and bad documents exceed cutoff j. The place in
+    the grid of each metric's cutoff (None: none)."""
+    out = {}
+    for m in METRICS:
+        fit = [j for j in range(len(GRID)) if row[f"g_{m}_{j}"] <= risk * row["good"] / (2 * len(METRICS))]
+        best = max((row[f"b_{m}_{j}"] for j in fit), default=0)
+        out[m] = max((j for j in fit if row[f"b_{m}_{j}"] >= 0.98 * best), default=None) if best else None
+    return out
+
+
+def loosened(place: int | None, steps: int) -> float | None:
+    """The cutoff so many steps above a place of the grid; above the grid there is none."""
+    return None if place is None or place + steps >= len(GRID) else GRID[place + steps]
+
+
+def accepted(rejected: list[int], good: int, risk: float, level: float) -> int | None:
+    """rejected: good documents that the rule loosened by 0, 1, .. steps rejects. The fewest steps that the sequence
+    of tests, from the loosest on, reaches (None: even the loosest fails)."""
+    found = None
+    for steps in reversed(range(len(rejected))):
+        if not allowed(rejected[steps], good, risk, level):
+            break
+        found = steps
+    return found
+
+
+def exceeds(cut: str = "cut_{}") -> Column:
+    """Whether any metric exceeds its cutoff, in the columns that `cut` names."""
+    out = F.lit(False)
+    for m in METRICS:
+        out = out | F.coalesce(F.col(m) > F.col(cut.format(m)), F.lit(False))
     return out
 
 
 def thresholds(metrics: DataFrame, labels: DataFrame, risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """metrics: doc_id, stratum, base_failed and the metrics; labels: doc_id, good. A row per stratum;
+    """metrics: doc_id, stratum, base_failed and the metrics; labels: doc_id, good. A row of cutoffs per stratum;
     the pooled one's, if there is one, has a null stratum."""
     spark = metrics.sparkSession
-    known = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
-    once = metrics.where("not base_failed and doc_id is not null").join(known, "doc_id").where("good is not null")
-    aggs = [F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")]
+    known = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good")).where("good is not null")
+    once = metrics.where("not base_failed and doc_id is not null").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *[F.max(m).alias(m) for m in METRICS])
+    once = materialize(once.join(known, "doc_id").withColumn("tests", F.xxhash64("doc_id").bitwiseAND(F.lit(1).cast("long")) == 1), "labelled")
+    sizes = [r["stratum"] for r in once.groupBy("stratum").agg(F.sum("good").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA + 1).collect()]
+    named = spark.createDataFrame([(x, x) for x in sizes[:MAX_STRATA]], "stratum string, cell string")
+    cells = once.join(F.broadcast(named), "stratum", "left")  # MAX_STRATA rows at most; beyond them the cell is null
+
+    aggs = [F.sum("good").alias("good")]
     for m in METRICS:
         for j, t in enumerate(GRID):
             over = (F.col(m) > t).cast("int")
             aggs += [F.sum(over * F.col("good")).alias(f"g_{m}_{j}"), F.sum(over * (1 - F.col("good"))).alias(f"b_{m}_{j}")]
-    per = once.groupBy("stratum").agg(*aggs)
-    rows = [r.asDict() for r in per.orderBy(F.desc("good"), "stratum").limit(MAX_STRATA + 1).collect()]
-    if len(rows) > MAX_STRATA:
-        rows.pop()
-        own = spark.createDataFrame([(r["stratum"],) for r in rows], "stratum string")
-        pooled = per.join(F.broadcast(own), "stratum", "left_anti").agg(*[F.sum(c).alias(c) for c in per.columns if c != "stratum"])
-        rows.append({"stratum": None} | pooled.first().asDict())
-    fields = "stratum string, " + ", ".join(f"cut_{m} double" for m in METRICS)
-    return spark.createDataFrame([tuple(c.values()) for c in choose(rows, risk, delta)], fields)
+    places = {r["cell"]: propose(r.asDict(), risk) for r in cells.where("not tests").groupBy("cell").agg(*aggs).collect()}
+
+    fields = "cell string, " + ", ".join(f"cut_{m}_{s} double" for m in METRICS for s in range(LOOSEST + 1))
+    tried = spark.createDataFrame([(c, *(loosened(x[m], s) for m in METRICS for s in range(LOOSEST + 1))) for c, x in places.items()], fields)
+    tested = cells.where("tests").join(F.broadcast(tried), cells["cell"].eqNullSafe(tried["cell"])).drop(tried["cell"])
+    counts = tested.groupBy("cell").agg(F.sum("good").alias("good"), *[F.sum(F.col("good") * exceeds(f"cut_{{}}_{s}").cast("int")).alias(f"r_{s}") for s in range(LOOSEST + 1)]).collect()
+    out = []
+    for r in counts:
+        steps = accepted([r[f"r_{s}"] for s in range(LOOSEST + 1)], r["good"], risk, delta / len(counts))
+        out.append((r["cell"], *(None if steps is None else loosened(places[r["cell"]][m], steps) for m in METRICS)))
+    discard(once)
+    return spark.createDataFrame(out, "stratum string, " + ", ".join(f"cut_{m} double" for m in METRICS))
 
 
 def with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -140,11 +175,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
     rows = materialize(measured(named).drop("text").withColumn("base_failed", base_failed()).withColumns({m: F.expr(e) for m, e in METRICS.items()}), "metrics")
     cuts = thresholds(rows, labels, risk, delta)
-    over = [F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False)) for m in METRICS]
-    bad = over[0]
-    for o in over[1:]:
-        bad = bad | o
-    return with_cuts(rows, cuts).withColumn("kept", ~F.col("base_failed") & ~bad).drop(*[f"cut_{m}" for m in METRICS])
+    return with_cuts(rows, cuts).withColumn("kept", ~F.col("base_failed") & ~exceeds()).drop(*[f"cut_{m}" for m in METRICS])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -165,9 +196,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.toDF(*own).withColumns({"doc_id": F.col(own[docs.columns.index("doc_id")]).cast("long"), "stratum": F.coalesce(F.col(own[docs.columns.index("lang")]).cast("string"), F.lit(""))})
     rows = measured(rows, own[docs.columns.index("text")]).withColumn("base_failed", base_failed()).withColumns({m: F.expr(e) for m, e in METRICS.items()})
     # written before anything is filtered: a filter pushed below would repeat the nested expressions
-    written = materialize(rows, "measured").where("not base_failed")
-    over = F.lit(False)
-    for m in METRICS:
-        over = over | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    kept = with_cuts(written, thresholds(written, labels)).where(~over)
+    written = leave(materialize(rows, "measured")).where("not base_failed")
+    kept = with_cuts(written, thresholds(written, labels)).where(~exceeds())
     return kept.select(*own).toDF(*docs.columns)
