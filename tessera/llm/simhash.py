@@ -138,7 +138,7 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     the same groups as all links of at most `distance` differing bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rest, held, n = Merged(), None, [], 0
+        seen, held, n, enough = Merged(), [], 0, BLOCK_ROWS
 
         def work(key, fp, rep):
             i, j = forest(key, fp.view(np.uint64), distance)
@@ -152,12 +152,13 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep")])
             n += batch.num_rows
-            if n >= BLOCK_ROWS:
+            if n >= enough:
                 key, fp, rep = (np.concatenate(x) for x in zip(*held))
                 whole = int(np.searchsorted(key, key[-1]))  # the last run may go on
                 if whole:
                     yield from work(key[:whole], fp[:whole], rep[:whole])
                 held, n = [[key[whole:], fp[whole:], rep[whole:]]], len(key) - whole
+                enough = max(BLOCK_ROWS, 2 * n)  # a run that goes on is joined up again only once it has doubled
         if held:
             yield from work(*(np.concatenate(x) for x in zip(*held)))
 
