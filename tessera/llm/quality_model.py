@@ -208,6 +208,13 @@ def fit(rows: list[tuple[float, np.ndarray]], epochs: int = 12, rate: float = 0.
     return w
 
 
+def accuracies(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """labeller, accuracy: the estimated share of documents on which a labeller does not contradict the class (it abstains,
+    or votes good on clean and bad on other texts). One row per labeller."""
+    counts = vote_counts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), labels)
+    return docs.sparkSession.createDataFrame(list(WeakLabels(counts).accuracy.items()), "labeller string, accuracy double")
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, weak (posterior of clean from the heuristics' votes alone), score (of the hashed scorer) and
     keep (score of a half or more). labels: doc_id, quality, toxic."""
