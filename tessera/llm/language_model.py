@@ -9,7 +9,8 @@ where D depends on whether the pair was seen once, twice or more often, and rest
 pairs of c leave over; over the V words and one unknown word the probabilities sum to one (up to quantisation).
 
 Levels, all memory-mapped files in the shared folder, cut into parts of bounded size:
-  words     sorted 64-bit word hashes; a word's id is its place. Counts, and p(w) as a 16-bit code.
+  words     ascending 64-bit word hashes (Elias-Fano); a word's id is its place. Counts, in as few bytes as the largest
+            needs, and p(w) as a 16-bit code.
   contexts  ascending context ids (Elias-Fano) and rest(c) as 16-bit codes.
   pairs     per part: its contexts and the monotone pointers to their first successors (Elias-Fano each);
             successor ids, each context's shifted by the last value before it so that the whole level
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, chunks, fresh_path, local_file, materialize, utf8
+from tessera.llm.common import bounded, chunks, discard, fresh_path, local_file, materialize, release, utf8
 from tessera.llm.elias_fano import Sequence, encode, load, save
 
 END = b" "  # no word holds a blank
@@ -127,11 +128,11 @@ def write_words(spark: SparkSession, counts: DataFrame, folder: str) -> dict:
             h, c = (np.concatenate(y) for y in zip(*x))
             h = _unsigned(h)
             order = np.argsort(h)
-            save(folder, f"words-{p}", {"hash": h[order], "count": c[order], "code": code((c[order] + 0.1) / scale)})
+            save(folder, f"words-{p}", encode(h[order]) | {"count": c[order].astype(np.min_scalar_type(int(c.max()))), "code": code((c[order] + 0.1) / scale)})
             yield pa.record_batch({"part": pa.array([p], pa.int64()), "n": pa.array([len(h)], pa.int64())})
 
     keyed = counts.withColumn("part", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    sizes = dict(tuple(r) for r in keyed.repartition(1 << bits, "part").mapInArrow(run, "part long, n long").collect())
+    sizes = dict(tuple(r) for r in keyed.repartitionByRange(1 << bits, "part").mapInArrow(run, "part long, n long").collect())
     base = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(1 << bits)]))).tolist()
     return {"bits": bits, "base": base, "words": n, "tokens": total}
 
@@ -139,7 +140,7 @@ def write_words(spark: SparkSession, counts: DataFrame, folder: str) -> dict:
 class Words:
     def __init__(self, folder: str, meta: dict):
         self.folder, self.meta = folder, meta
-        self.parts = {p: load(folder, f"words-{p}", "hash", "count", "code") for p in range(1 << meta["bits"]) if meta["base"][p + 1] > meta["base"][p]}
+        self.parts = {p: (Sequence(folder, f"words-{p}"), *load(folder, f"words-{p}", "count", "code")) for p in range(1 << meta["bits"]) if meta["base"][p + 1] > meta["base"][p]}
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """id (-1: unknown), count and code of each hash."""
@@ -151,9 +152,8 @@ class Words:
         for p, own in enumerate(np.split(order, edges)):
             if p in self.parts and len(own):
                 hashes, counts, c = self.parts[p]
-                at = np.minimum(np.searchsorted(hashes, h[own]), len(hashes) - 1)
-                ok = hashes[at] == h[own]
-                own, at = own[ok], at[ok]
+                at = hashes.find(h[own])
+                own, at = own[at >= 0], at[at >= 0]
                 out[own], count[own], codes[own] = at + self.meta["base"][p], counts[at], c[at]
         return out, count, codes
 
@@ -201,8 +201,9 @@ def pair_counts(docs: DataFrame, folder: str, meta: dict) -> DataFrame:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
                 bucket = mixed(keys) % buckets
                 order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(1, buckets))
-                for b, own in enumerate(np.split(order, edges)):
+                bucket = bucket[order]
+                heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))  # the buckets that are there
+                for b, own in zip(bucket[heads].tolist(), np.split(order, heads[1:])):
                     if len(own):
                         yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "keys": pa.array([squeeze(np.diff(keys[own], prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([squeeze(counts[own])], pa.binary())})
 
@@ -301,6 +302,7 @@ def write_pairs(spark: SparkSession, pairs: DataFrame, docs: DataFrame, folder:
     size = max(1, -(-total // PART_PAIRS))
     for name, df, f in (("contexts", by_context.repartitionByRange(size, "c").sortWithinPartitions("c"), context_part), ("pairs", every.repartitionByRange(size, "c", "w").sortWithinPartitions("c", "w"), pair_part)):
         meta[name] = sorted([r["first"], r["part"]] for r in df.mapInArrow(f, "part long, first long").collect())
+    discard(every)
     return meta
 
 
@@ -369,10 +371,17 @@ def train(docs: DataFrame, path: str) -> str:
     folder = local_file(path)
     os.makedirs(folder, exist_ok=True)
     spark, rows = docs.sparkSession, bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta = write_words(spark, materialize(word_counts(rows), "words"), folder)
+    counts = materialize(word_counts(rows), "words")
+    meta = write_words(spark, counts, folder)
+    discard(counts)
+    release(spark)
     if meta["words"] >= 1 << 31:
         raise ValueError("more than 2^31 distinct words")
-    meta = write_pairs(spark, pair_counts(rows, folder, meta), rows.select("doc_id"), folder, meta)
+    pairs = pair_counts(rows, folder, meta)
+    release(spark)
+    meta = write_pairs(spark, pairs, rows.select("doc_id"), folder, meta)
+    discard(pairs)
+    release(spark)
     with open(f"{folder}/.manifest", "w") as f:
         json.dump(meta, f)
     os.replace(f"{folder}/.manifest", f"{folder}/manifest.json")
