@@ -432,7 +432,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER, doc_id: str = "d
     `rest`. The texts are written once, compressed; only candidate strings are shuffled."""
     packed = pack_batches(docs, doc_id, text, rest)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(31, max(2, (-(-total // BUCKET_BYTES) - 1).bit_length()))
+    least_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(31, max(2, (-(-total // BUCKET_BYTES) - 1).bit_length(), (least_buckets - 1).bit_length()))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rest_type = "struct<" + (",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) or "none:int") + ">"
     copies = lay_copies(packed, width)
