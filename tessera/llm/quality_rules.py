@@ -136,7 +136,7 @@ def thresholds(metrics: DataFrame, labels: DataFrame, risk: float = 0.005, delta
     spark = metrics.sparkSession
     known = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good")).where("good is not null")
     once = metrics.where("not base_failed and doc_id is not null").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *[F.max(m).alias(m) for m in METRICS])
-    once = materialize(once.join(known, "doc_id").withColumn("tests", F.xxhash64("doc_id").bitwiseAND(F.lit(1).cast("long")) == 1), "labelled")
+    once = materialize(once.join(known, "doc_id").withColumn("tests", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin(*"13579bdf")), "labelled")
     sizes = [r["stratum"] for r in once.groupBy("stratum").agg(F.sum("good").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA + 1).collect()]
     named = spark.createDataFrame([(x, x) for x in sizes[:MAX_STRATA]], "stratum string, cell string")
     cells = once.join(F.broadcast(named), "stratum", "left")  # MAX_STRATA rows at most; beyond them the cell is null
@@ -199,3 +199,36 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     written = leave(materialize(rows, "measured")).where("not base_failed")
     kept = with_cuts(written, thresholds(written, labels)).where(~exceeds())
     return kept.select(*own).toDF(*docs.columns)
+
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_METRICS = ", ".join(f"{e}::DOUBLE AS {m}" for m, e in METRICS.items())
+_GRID = ", ".join(f"({j}, {t}::DOUBLE)" for j, t in enumerate(GRID))
+#: The same rules in DuckDB's SQL (for up to MAX_STRATA languages).
+OP10_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM cut)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY rid),
+base AS (SELECT rid, doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+  length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim FROM cut LEFT JOIN covered USING (rid)),
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_METRICS} FROM base),
+known AS (SELECT doc_id, min((quality = 1)::INT) AS good FROM labels GROUP BY doc_id HAVING min((quality = 1)::INT) IS NOT NULL),
+once AS (SELECT doc_id, min(stratum) AS stratum, {', '.join(f'max({m}) AS {m}' for m in METRICS)} FROM measured WHERE NOT base_failed AND doc_id IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT *, substr(md5(doc_id::VARCHAR), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS tests FROM once JOIN known USING (doc_id)),
+long AS (UNPIVOT labelled ON {', '.join(METRICS)} INTO NAME metric VALUE x),
+grid(j, t) AS (VALUES {_GRID}),
+tried AS (SELECT stratum, metric, j, sum(good) AS n, sum(good) FILTER (x > t) AS g, coalesce(sum(1 - good) FILTER (x > t), 0) AS b FROM long, grid WHERE NOT tests GROUP BY ALL),
+fit AS (SELECT *, max(b) OVER (PARTITION BY stratum, metric) AS best FROM tried WHERE coalesce(g, 0) <= 0.005::DOUBLE * n / {2 * len(METRICS)}),
+proposed AS (SELECT stratum, metric, max(j) FILTER (b >= 0.98::DOUBLE * best AND best > 0) AS place FROM fit GROUP BY ALL),
+loosened AS (SELECT stratum, metric, s, t AS cut FROM proposed, range({LOOSEST + 1}) r(s) LEFT JOIN grid ON j = place + s),
+cells AS (SELECT DISTINCT stratum FROM labelled WHERE NOT tests INTERSECT SELECT stratum FROM labelled WHERE tests),
+judged AS (SELECT stratum, doc_id, s, any_value(good) AS good, coalesce(bool_or(x > cut), false) AS gone FROM long JOIN cells USING (stratum) LEFT JOIN loosened USING (stratum, metric) WHERE tests GROUP BY ALL),
+steps AS (SELECT stratum, s, sum(good)::BIGINT AS n, coalesce(sum(good) FILTER (gone), 0)::BIGINT AS k FROM judged GROUP BY ALL),
+bounded AS (SELECT *, n > 0 AND k <= 0.005::DOUBLE * n AND CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005::DOUBLE) + (n - i) * ln(1 - 0.005::DOUBLE)))) END
+  <= 0.05::DOUBLE / (SELECT count(*) FROM cells) AS ok FROM steps WHERE s IS NOT NULL),
+reached AS (SELECT stratum, min(s) AS s FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY s DESC) AS so_far FROM bounded) WHERE so_far GROUP BY stratum),
+cuts AS (SELECT stratum, {', '.join(f"max(cut) FILTER (metric = '{m}') AS cut_{m}" for m in METRICS)} FROM loosened JOIN reached USING (stratum, s) GROUP BY stratum)
+SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND NOT ({' OR '.join(f'coalesce({m} > cut_{m}, false)' for m in METRICS)}) AS kept FROM measured LEFT JOIN cuts USING (stratum)"""
