@@ -2,7 +2,7 @@
 
 Each step is a partial aggregate (the smallest neighbour of a node) and a join; a hub's rows are split by
 the adaptive skew join. Each round's edges are written to the shared folder, so a lost executor costs a
-round at most. The driver sees two sums a round, never edges or labels.
+round at most; the last round's are deleted. The driver sees two sums a round, never edges or labels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, leave, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,8 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         new = materialize(_star(_star(now, True), False), "edges")
         new_state = _state(new)
-        if new_state == state:
+        discard(now)
+        now, done, state = new, new_state == state, new_state
+        if done:
             break
-        now, state = new, new_state
+    leave(now)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))

@@ -1,13 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only propose the pairs.
+"""Near copies by exact Jaccard similarity of word shingles; SimHash links and MinHash bands only propose the pairs.
 
-Two texts are linked if the sets of their shingles have a Jaccard similarity of at least `least`. ROWS
+Two texts are linked if the sets of their shingles have a Jaccard similarity of at least `least`. Proposals come from
+the deletion-variant index of simhash.py (fingerprints over the same shingles, `distance` differing bits) and, as a
+64-bit fingerprint cannot reach a similarity of 0.8 (such pairs differ in ten bits and more), from MinHash: ROWS
 min-hashes make a band and BANDS bands a signature: a pair of similarity 0.8 shares a band with probability
-1 - (1 - 0.8^8)^40 = 99.9 %, one of 0.85 practically always; no pair below `least` is linked.
+1 - (1 - 0.8^8)^40 = 99.9 %, one of 0.85 practically always. No pair below `least` is linked.
 
 Texts with the same words are one node from the start. Nodes that share a band are tied to the first of the
 band (never all pairs); each connected set of candidates goes to one task, which walks it from text to text
-along shared bands and verifies each step by the shingles themselves. A walk tells a spanning forest of the
-verified links, which is what groups need. A task holds the shingle hashes of one candidate set.
+along shared bands and verifies each step by the shingles themselves, all candidates of a step at once. A walk
+tells a spanning forest of the verified links, which is what groups need. A task holds the shingle hashes of one
+candidate set.
 
 Fewer words than a shingle are one shingle. Wordless and null texts are copies of one another. Repeated rows
 are rows of one group. Empty tables give no rows. Other columns are not read.
@@ -15,7 +18,6 @@ are rows of one group. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, chunks, materialize, utf8
+from tessera.llm.beside import ROW_BITS, lay, places
+from tessera.llm.common import bounded, chunks, discard, materialize, release, utf8
 from tessera.llm.graph import components
+from tessera.llm.simhash import links, vote
 
 BANDS, ROWS = 40, 8
 #: Shingles whose hashes are permuted at once.
@@ -40,7 +44,7 @@ FLIP, FACTOR = _constants()
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
-    """The ascending distinct hashes of the text's shingles."""
+    """The hashes of the text's shingles, in order."""
     import xxhash
 
     digest, words = xxhash.xxh64_intdigest, text.lower().split()
@@ -52,7 +56,7 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     pairs = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in pairs), np.uint64, len(words) - k + 1))
+    return np.fromiter((digest(line[a:b], 42) for a, b in pairs), np.uint64, len(words) - k + 1)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -69,15 +73,8 @@ def bands(hashes: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest (of the lower-cased words), bands."""
+    """doc_id, digest (of the lower-cased words), fp (SimHash fingerprint), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -85,9 +82,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in chunks(batches):
             texts = utf8(batch.column("text"))
             digests = [xxhash.xxh128_digest(b" ".join(t.lower().split())) for t in texts]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "bands": pa.array([bands(shingles(t, shingle)) for t in texts], pa.list_(pa.int64()))})
+            hashes = [shingles(t, shingle) for t in texts]
+            fps = np.array([vote(h) if len(h) else 0 for h in hashes], np.uint64).view(np.int64)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "fp": fps, "bands": pa.array([bands(np.unique(h)) for h in hashes], pa.list_(pa.int64()))})
 
-    return bounded(docs).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return bounded(docs).mapInArrow(run, "doc_id long, digest binary, fp long, bands array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -110,32 +109,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
 
 
-def walked(reps: list[int], sets: list[np.ndarray], keys: list[list[int]], least: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the verified links between nodes that share a band."""
-    holders: dict[int, set[int]] = defaultdict(set)
-    for i, own in enumerate(keys):
-        for k in own:
-            holders[k].add(i)
-
-    def take(i: int) -> None:
-        for k in keys[i]:
-            holders[k].discard(i)
-
-    todo = set(range(len(reps)))
-    while todo:
-        first = todo.pop()
-        take(first)
-        frontier = [first]
-        while frontier:
+def walked(sets: list[np.ndarray], keys: list[list[int]], least: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the verified links between nodes that share a key in the same place of their lists.
+    sets: distinct shingles of each node."""
+    sizes = np.array([len(x) for x in sets])
+    starts, shared = np.cumsum(sizes) - sizes, np.array(keys, np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    todo = np.arange(len(sets))
+    while len(todo):
+        frontier, todo = [int(todo[0])], todo[1:]
+        while frontier and len(todo):
             at = frontier.pop()
-            n = len(sets[at])
-            for j in sorted(set().union(*(holders[k] for k in keys[at]))):
-                m = len(sets[j])
-                if min(m, n) >= least * max(m, n) and jaccard(sets[at], sets[j]) >= least:
-                    yield reps[at], reps[j]
-                    todo.discard(j)
-                    take(j)
-                    frontier.append(j)
+            n, m = sizes[at], sizes[todo]
+            near = np.flatnonzero((np.minimum(m, n) >= least * np.maximum(m, n)) & (shared[todo] == shared[at]).any(1))
+            if not len(near):
+                continue
+            own, m = todo[near], m[near]
+            mark[flat[starts[at] : starts[at] + n]] = True
+            held = mark[flat[np.repeat(starts[own] - np.cumsum(m) + m, m) + np.arange(m.sum())]]
+            both = np.diff(np.concatenate(([0], np.cumsum(held)))[np.concatenate(([0], np.cumsum(m)))])
+            mark[flat[starts[at] : starts[at] + n]] = False
+            linked = np.where(n + m == both, True, both / np.maximum(1, n + m - both) >= least)
+            yield from ((at, j) for j in own[linked].tolist())
+            frontier += own[linked].tolist()
+            todo = np.delete(todo, near[linked])
 
 
 def verified(members: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -145,7 +143,7 @@ def verified(members: DataFrame, shingle: int, least: float) -> DataFrame:
         now, reps, sets, keys = None, [], [], []
 
         def out():
-            found = list(walked(reps, sets, keys, least))
+            found = [(reps[i], reps[j]) for i, j in walked(sets, keys, least)] if reps else []
             if found:
                 a, b = zip(*found)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -156,19 +154,42 @@ def verified(members: DataFrame, shingle: int, least: float) -> DataFrame:
                     yield from out()
                     now, reps, sets, keys = at, [], [], []
                 reps.append(rep)
-                sets.append(shingles(text, shingle))
+                sets.append(np.unique(shingles(text, shingle)))
                 keys.append(own)
         yield from out()
 
     return bounded(members).repartition("set").sortWithinPartitions("set").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs: doc_id (long, unique and not null), text. doc_id, group (the smallest doc_id of its near copies)."""
-    signed = materialize(signatures(docs.select("doc_id", "text"), shingle), "signatures")
-    nodes = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "texts")
-    maybe = components(candidates(nodes)).select(F.col("node").alias("rep"), F.col("component").alias("set"))
-    members = maybe.join(nodes.select("rep", "bands"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    found = components(verified(members.select("set", "rep", "text", "bands"), shingle, least)).withColumnRenamed("node", "rep")
-    named = nodes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "group")
+def with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (rep, set, bands) with their texts. Only the members' texts leave their place."""
+    folder = lay(members.select("rep", "set", "bands"), "members", "rep", ROW_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, found in places(folder, batch.column("doc_id").to_numpy(), "rep"):
+                if len(own):
+                    found = found.combine_chunks()
+                    yield pa.record_batch([*(found.column(c).combine_chunks() for c in ("set", "rep", "bands")), batch.column("text").take(own)], names=["set", "rep", "bands", "text"])
+
+    return bounded(docs).mapInArrow(run, "set long, rep long, bands array<long>, text string")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
+    """docs: doc_id (as monotonically_increasing_id gives it, written), text. doc_id, group (the smallest doc_id of its
+    near copies)."""
+    docs = docs.select("doc_id", "text")
+    signed = materialize(signatures(docs, shingle), "signatures")
+    nodes = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("bands", "doc_id").alias("bands")), "texts")
+    alike = materialize(components(links(nodes, distance)), "alike")
+    edges = candidates(nodes).unionByName(alike.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    maybe = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("set"))
+    keyed = nodes.select("rep", "bands").join(maybe, "rep").join(alike.withColumnRenamed("node", "rep"), "rep", "left")
+    members = with_texts(docs, keyed.withColumn("bands", F.concat("bands", F.array(F.coalesce("component", "rep")))))
+    found = components(verified(members, shingle, least)).withColumnRenamed("node", "rep")
+    named = materialize(nodes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("group")), "groups")
+    out = materialize(signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "group"), "grouped")
+    for table in (signed, nodes, alike, named):
+        discard(table)
+    release(docs.sparkSession)
+    return out
