@@ -42,7 +42,7 @@ from tessera.llm.elias_fano import Sequence, encode, load, save
 END = b" "  # no word holds a blank
 CHUNK = 2 << 20
 #: Words, pairs and rows a part or a task's table holds.
-PART_WORDS, PART_PAIRS, BUCKET_PAIRS, HELD_WORDS, HELD_PAIRS = 4_000_000, 4_000_000, 2_000_000, 200_000, 2_000_000
+PART_WORDS, PART_PAIRS, BUCKET_PAIRS, HELD_WORDS, HELD_PAIRS = 4_000_000, 2_000_000, 2_000_000, 200_000, 2_000_000
 #: A probability's code is its -log10 in these steps.
 STEP = 1 / 2000
 
@@ -268,17 +268,22 @@ def write_pairs(spark: SparkSession, pairs: DataFrame, docs: DataFrame, folder:
     def pair_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, got = TaskContext.get().partitionId(), [[b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "w", "kept", "times")] for b in batches]
+        part, got = TaskContext.get().partitionId(), []
+        for b in batches:  # 14 bytes a pair are held
+            c, w, mass, times = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "w", "kept", "times"))
+            got.append((c.copy(), w.astype(np.uint32), code(mass / times)))
         if not got:
             return
-        c, w, mass, times = (np.concatenate(x) for x in zip(*got))
+        c, w, codes = (np.concatenate(x) for x in zip(*got))
+        got.clear()
         heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         tails = np.append(heads[1:], len(c)) - 1
-        base = np.concatenate(([0], np.cumsum(w[tails] + 1)[:-1]))  # the last value of the context before
-        level = w + 1 + np.repeat(base, np.diff(np.append(heads, len(c))))
+        base = np.concatenate(([0], np.cumsum(w[tails].astype(np.int64) + 1)[:-1]))  # the last value of the context before
+        level = np.repeat(base + 1, np.diff(np.append(heads, len(c))))
+        level += w
         save(folder, f"pairs-{part}-owners", encode(c[heads]))
         save(folder, f"pairs-{part}-pointers", encode(np.append(heads, len(c))))
-        save(folder, f"pairs-{part}", encode(level) | {"code": code(mass / times)})
+        save(folder, f"pairs-{part}", encode(level) | {"code": codes})
         yield pa.record_batch({"part": [part], "first": [int(c[0]) << 32 | int(w[0])]})
 
     def with_times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
