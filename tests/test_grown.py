@@ -1,9 +1,13 @@
 """Cases that grown tables brought up."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import cosine
+from tessera.plans import catalogue
 
 
 @pytest.fixture
@@ -31,3 +35,24 @@ def test_street_words_beside_other_letters(spark, documents):
     folder, con = documents([f"a b c d e f {x} y z" for x in ("einßst", "stßkeit", "chßdr", "best", "st_a", "rd", "straßerd", "1st")])
     got, want = against_sql(spark, "norm_address", folder, con)
     assert got == want and any("einßstreet" in x for x in got) and any("best " in x for x in got)
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    values = [i / 1e9 for i in range(500, 1_000_000_000, 9_999_000)] + [0.2564345, 0.5178465, -0.2564345]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(catalogue.r6("v")).collect()]
+    assert got == [duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_best_by_cosine_in_blocks(spark, documents, monkeypatch):
+    """A term that all records hold makes no row a pair; blocks, ties and copies give what the SQL does."""
+    monkeypatch.setattr(cosine, "LEFT", 7)
+    monkeypatch.setattr(cosine, "RIGHT", 90)
+    rng = random.Random(3)
+    texts = [" ".join(["all", *(rng.choice("red green blue grey pink teal".split()) for _ in range(rng.randint(0, 9)))]) for _ in range(400)]
+    folder, con = documents([*texts, *["the very same words here"] * 120], ("en", "fr"))
+    for name in ("tfidf_name_topk", "tfidf_addr_topk", "candidate_pairs_output"):
+        got, want = against_sql(spark, name, folder, con)
+        assert got == want and got
+    found = catalogue.QUERIES["tfidf_name_topk"](spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
