@@ -22,6 +22,9 @@ CACHE_WORDS = 300_000
 TEXT_BYTES = 2 << 20
 #: Lower-case letters, digits and signs of ASCII, and Latin letters but the dotted capital I.
 _PLAIN = regex.compile(r"[!-@\[-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: By code point, all from 0x180 on as one: what _PLAIN takes, and letters. A space parts words and is both.
+_PLAINS = np.array([c == 32 or _PLAIN(chr(c)) is not None for c in range(0x180)] + [False])
+_LETTERS = np.array([c == 32 or chr(c).isalpha() for c in range(0x180)] + [False])
 
 
 @lru_cache(maxsize=2)
@@ -75,12 +78,20 @@ class Joined:
             self.letters_are_one = len(self.pieces("abcxyz\xe0\xff\u0101\u017f")) == 1
 
     @staticmethod
-    def plain(word: str) -> bool:
-        return _PLAIN(word) is not None and "<|" not in word
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """All ids and the number of ids of each word; None if the ends don't tally."""
-        counts = np.fromiter((1 if self.letters_are_one and w.isalpha() else len(self.pieces(w)) for w in words), np.int64, len(words))
+    def plain(joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words of these lengths, joined by spaces, are plain, and which of those are letters only."""
+        codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), 0x180)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        plain = np.logical_and.reduceat(_PLAINS[codes], starts)
+        special = np.flatnonzero((codes[:-1] == ord("<")) & (codes[1:] == ord("|")))
+        plain[np.searchsorted(starts, special, "right") - 1] = False
+        return plain, plain & np.logical_and.reduceat(_LETTERS[codes], starts)
+
+    def encode(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids and the number of ids of each word; None if the ends don't tally. letters: words of letters only."""
+        counts = np.ones(len(words), np.int64)
+        other = np.flatnonzero(~letters) if self.letters_are_one else np.arange(len(words))
+        counts[other] = [len(self.pieces(words[i])) for i in other.tolist()]
         groups = [" ".join(words[a : a + self.WORDS]) for a in range(0, len(words), self.WORDS)]
         each = [np.array(x.ids, np.uint32) for x in _batch_of(self.tokenizer, groups)]
         ends = [np.flatnonzero(self.ends[x]) + 1 for x in each]
@@ -146,12 +157,15 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Encodes the words that were numbered last."""
-        first, texts = len(self.known) - len(new), [w.decode("utf-8", "replace") for w in new]
+        first, joined = len(self.known) - len(new), b" ".join(new).decode("utf-8", "replace")
+        texts = joined.split(" ")
         self._reserve()
-        plain = np.fromiter((self.joined.usable and self.joined.plain(w) for w in texts), bool, len(texts))
+        plain = letters = np.zeros(len(texts), bool)
+        if self.joined.usable:
+            plain, letters = self.joined.plain(joined, np.fromiter(map(len, texts), np.int64, len(texts)))
         for a in range(0, len(texts), 1 << 15):
             own = np.flatnonzero(plain[a : a + (1 << 15)]) + a
-            if len(own) and (got := self.joined.encode([texts[i] for i in own.tolist()])):
+            if len(own) and (got := self.joined.encode([texts[i] for i in own.tolist()], letters[own])):
                 self._store(first + own, *got)
             else:
                 plain[own] = False
