@@ -87,6 +87,7 @@ def test_texts_not_sets_go_with_pairs(spark, documents):
 #: Of feature queries: the sets of a record that they need.
 NEEDED = {
     "feat_levenshtein": set(),
+    "feat_levenshtein_all": set(),
 }
 
 
