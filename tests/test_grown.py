@@ -88,6 +88,7 @@ def test_texts_not_sets_go_with_pairs(spark, documents):
 NEEDED = {
     "feat_levenshtein": set(),
     "feat_levenshtein_all": set(),
+    "feat_suffix_flags": set(),
 }
 
 
