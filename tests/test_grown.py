@@ -89,6 +89,7 @@ NEEDED = {
     "feat_levenshtein": set(),
     "feat_levenshtein_all": set(),
     "feat_suffix_flags": set(),
+    "feat_token_jaccard": {"core_tokens", "addr_tokens"},
 }
 
 
